@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from flowlens.functions.vectors import matrix_of
 from flowlens.operators.classification import pair_counts
@@ -90,7 +91,7 @@ def expected_information(a: float, b: float, n: float) -> float:
     return float((weight * k / n * (np.log(count) + math.log(n) - math.log(a) - math.log(b))).sum() / weight.sum())
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _expected_information(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([expected_information(*row) for row in zip(a, b, n)], dtype="float64")
 
