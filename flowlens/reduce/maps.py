@@ -1,0 +1,186 @@
+"""Distance- and neighbour-preserving maps, built on landmarks.
+
+Both maps solve a problem over a bounded landmark sample and place every other row relative to it, so the
+cost grows linearly with the table. When the table is no larger than the sample, all rows are landmarks.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
+
+from flowlens.functions.vectors import list_column, matrix_of
+from flowlens.operators.knn import knn_affinity
+from flowlens.operators.landmarks import affinities, choose_landmarks, fast_squared_distances, fetch
+from flowlens.operators.landmarks import squared_distances
+from flowlens.reduce.base import Reducer, ReducerModel
+from flowlens.reduce.sums import fix_signs
+
+
+class LandmarkMdsModel(ReducerModel):
+    """y_k = -1/2 v_k . (squared distances to the landmarks - their mean column) / sqrt(lambda_k)."""
+
+    def embedding(self) -> Column:
+        base, mean, axes = (self.params_[n] for n in ("landmarks", "mean_column", "axes"))
+
+        @arrow_udf("array<double>")
+        def apply(batch: pa.Array) -> pa.Array:
+            if len(batch) == 0:
+                return pa.array([], pa.list_(pa.float64()))
+            return list_column(-0.5 * (squared_distances(matrix_of(batch), base) - mean) @ axes)
+
+        return apply(self.features)
+
+    def feature_matrix(self) -> np.ndarray:
+        raise NotImplementedError("a distance map has no feature weights")
+
+
+class LandmarkMds(Reducer):
+    name = "mds"
+
+    def __init__(self, size: int = 2, landmarks: int = 500, seed: int = 0, key: str = "row_id",
+                 features: str = "features", output: str = "embedding"):
+        super().__init__(size, features, output)
+        self.landmarks, self.seed, self.key = landmarks, seed, key
+
+    def with_run(self, run: int) -> LandmarkMds:
+        other = self.copy()
+        other.seed = self.seed + run
+        return other
+
+    def _fit(self, dataset: DataFrame) -> LandmarkMdsModel:
+        _, base = fetch(choose_landmarks(dataset, self.key, self.landmarks, seed=self.seed), self.key, self.features)
+        square = squared_distances(base, base)
+        mean = square.mean(axis=0)
+        centred = -0.5 * (square - mean[None, :] - mean[:, None] + mean.mean())
+        values, vectors = np.linalg.eigh(centred)
+        top = np.argsort(values)[::-1][: self.size]
+        kept = top[values[top] > max(values.max(), 0) * 1e-12]
+        axes = fix_signs(vectors[:, kept]) / np.sqrt(values[kept])
+        return LandmarkMdsModel(self.name, {"landmarks": base, "mean_column": mean, "axes": axes}, self.features,
+                                self.output, {"size": self.size, "flat": ["mean_column"]})
+
+
+class LandmarkTsneModel(ReducerModel):
+    """Landmarks keep their own position; other rows take the affinity-weighted mean of their nearest ones."""
+
+    def embedding(self) -> Column:
+        base, where = self.params_["landmarks"], self.params_["positions"]
+        perplexity, k = self.meta["perplexity"], min(self.meta["neighbours"], len(self.params_["landmarks"]))
+
+        @arrow_udf("array<double>")
+        def apply(batch: pa.Array) -> pa.Array:
+            if len(batch) == 0:
+                return pa.array([], pa.list_(pa.float64()))
+            x = matrix_of(batch)
+            square = fast_squared_distances(x, base)
+            near = np.argpartition(square, k - 1, axis=1)[:, :k]
+            shares, _ = affinities(np.take_along_axis(square, near, axis=1), perplexity)
+            out = (shares[:, :, None] * where[near]).sum(axis=1)
+            closest = square.argmin(axis=1)
+            same = (x == base[closest]).all(axis=1)
+            out[same] = where[closest[same]]
+            return list_column(out)
+
+        return apply(self.features)
+
+    def feature_matrix(self) -> np.ndarray:
+        raise NotImplementedError("a neighbour map has no feature weights")
+
+
+class LandmarkTsne(Reducer):
+    """Affinity graph over the landmarks, then gradient steps that are one Spark job each.
+
+    A task owns some landmarks with their affinity lists; positions (landmarks x size numbers) go out with the
+    closure, forces of the owned rows come back. Attraction runs over the lists, repulsion over all landmarks.
+    """
+
+    name = "tsne"
+
+    def __init__(self, size: int = 2, perplexity: float = 30.0, early_exaggeration: float = 30.0,
+                 learning_rate: float = 200.0, n_iter: int = 1000, n_iter_without_progress: int = 300,
+                 min_grad_norm: float = 1e-7, landmarks: int = 2000, seed: int = 0, key: str = "row_id",
+                 features: str = "features", output: str = "embedding"):
+        super().__init__(size, features, output)
+        self.perplexity, self.early_exaggeration, self.learning_rate = perplexity, early_exaggeration, learning_rate
+        self.n_iter, self.n_iter_without_progress, self.min_grad_norm = n_iter, n_iter_without_progress, min_grad_norm
+        self.landmarks, self.seed, self.key = landmarks, seed, key
+
+    def with_run(self, run: int) -> LandmarkTsne:
+        other = self.copy()
+        other.seed = self.seed + run
+        return other
+
+    def _fit(self, dataset: DataFrame) -> LandmarkTsneModel:
+        chosen = choose_landmarks(dataset, self.key, self.landmarks, seed=self.seed)
+        keys, base = fetch(chosen, self.key, self.features)
+        graph = affinity_lists(chosen.sparkSession, keys, base, self.perplexity).persist()
+        try:
+            positions, history = self._layout(graph, len(keys))
+        finally:
+            graph.unpersist()
+        return LandmarkTsneModel(self.name, {"landmarks": base, "positions": positions}, self.features, self.output, {
+            "size": self.size, "perplexity": self.perplexity, "history": history,
+            "neighbours": max(1, int(3 * self.perplexity)),
+        })
+
+    def _layout(self, graph: DataFrame, n: int) -> tuple[np.ndarray, list[float]]:
+        y = np.random.default_rng(self.seed).normal(0, 1e-4, (n, self.size))
+        speed, gains, history = np.zeros_like(y), np.ones_like(y), []
+        early = min(250, self.n_iter // 4)
+        for step in range(self.n_iter):
+            pull, push, cost, mass = forces(graph, y)
+            boost = self.early_exaggeration if step < early else 1.0
+            grad = 4 * (boost * pull - push / mass)
+            history.append(float(cost + np.log(mass)))  # the divergence up to the entropy of the affinities
+            momentum = 0.5 if step < early else 0.8
+            gains = np.maximum(np.where(np.sign(grad) != np.sign(speed), gains + 0.2, gains * 0.8), 0.01)
+            speed = momentum * speed - self.learning_rate * gains * grad
+            y = y + speed
+            y = y - y.mean(axis=0)
+            late = history[early:]
+            wait = len(late) - 1 - int(np.argmin(late)) if late else 0
+            if np.linalg.norm(grad) < self.min_grad_norm or wait > self.n_iter_without_progress:
+                break
+        return y, history
+
+
+def affinity_lists(spark, keys: np.ndarray, base: np.ndarray, perplexity: float) -> DataFrame:
+    """(row, near, share) per landmark position: its neighbours' positions and the symmetric affinities."""
+    position = pa.array(np.arange(len(keys)))
+    table = spark.createDataFrame(pa.table({"row_id": position, "features": list_column(base)}))
+    return knn_affinity(table, perplexity).groupBy(F.col("a").alias("row")).agg(
+        F.collect_list(F.struct("b", "p")).alias("e")  # at most one entry per landmark
+    ).select("row", F.col("e.b").alias("near"), F.col("e.p").alias("share"))
+
+
+def forces(graph: DataFrame, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Attraction, repulsion, cross-entropy part of the cost and normaliser, from one pass over the rows."""
+    size = y.shape[1]
+
+    def act(batches):
+        for batch in batches:
+            rows = batch["row"].to_numpy(zero_copy_only=False)
+            near, share = batch["near"], batch["share"]
+            lengths = np.diff(near.offsets.to_numpy())
+            at = np.repeat(np.arange(len(rows)), lengths)
+            j, p = near.flatten().to_numpy(), share.flatten().to_numpy()
+            gap = y[rows][at] - y[j]
+            kernel = 1 / (1 + (gap * gap).sum(axis=1))
+            pull = np.zeros((len(rows), size))
+            np.add.at(pull, at, (p * kernel)[:, None] * gap)
+            cost = np.zeros(len(rows))
+            np.add.at(cost, at, -p * np.log(kernel))
+            q = 1 / (1 + fast_squared_distances(y[rows], y))
+            q[np.arange(len(rows)), rows] = 0.0
+            square = q * q
+            push = square.sum(axis=1)[:, None] * y[rows] - square @ y
+            out = np.column_stack([pull, push, cost, q.sum(axis=1)])
+            yield pa.RecordBatch.from_arrays([batch["row"], list_column(out)], ["row", "f"])
+
+    table = graph.mapInArrow(act, "row long, f array<double>").toArrow()
+    out = np.zeros((len(y), 2 * size + 2))
+    out[table["row"].to_numpy()] = matrix_of(table["f"])
+    return out[:, :size], out[:, size:2 * size], float(out[:, -2].sum()), float(out[:, -1].sum())
