@@ -8,12 +8,17 @@ circle are looked up point by point. Copies of a point are one weighted point.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowlens.session import checkpointed
+
 # relative slack around the radius inside which a tile is checked point by point
 _SLACK = 1e-9
 # distinct points of one cut tile that share a join key
 _POINTS_PER_KEY = 4096
+_KEY = ["cx", "cy", "sx", "sy"]
 
 
 def _tile(x: Column, width: float) -> Column:
@@ -24,90 +29,108 @@ def _square(x: Column) -> Column:
     return x * x
 
 
-def eps_label_counts(
-    queries: DataFrame, train: DataFrame, eps: float, id_col: str = "flow_id", x: str = "x", y: str = "y",
-    label: str = "label", refine: int = 8,
-) -> DataFrame:
-    """(id, label, n): training points of each label within the closed ball around every query point."""
-    if eps < 0:
-        raise ValueError("the radius must not be negative")
-    # adding 0.0 folds -0.0 into 0.0, so equal coordinates are equal keys
-    points = (
-        train.select((F.col(x) + 0.0).alias("tx"), (F.col(y) + 0.0).alias("ty"), F.col(label).alias("label"))
-        .where(F.col("tx").isNotNull() & F.col("ty").isNotNull())
-        .groupBy("tx", "ty", "label").agg(F.count("*").alias("n"))
-    )
-    asked = queries.select(F.col(id_col), (F.col(x) + 0.0).alias("qx"), (F.col(y) + 0.0).alias("qy"))
-    spots = asked.select("qx", "qy").where(F.col("qx").isNotNull() & F.col("qy").isNotNull()).distinct()
+@dataclass
+class NeighbourIndex:
+    """Training points prepared for ball queries of one radius: weighted points by tile, and the tiles."""
 
-    if eps == 0:
-        hits = spots.join(points, (F.col("qx") == F.col("tx")) & (F.col("qy") == F.col("ty"))).select(
-            "qx", "qy", "label", "n"
-        )
-    else:
-        hits = _ball_counts(spots, points, eps, refine)
-    return asked.join(hits, ["qx", "qy"]).select(id_col, "label", "n")
+    eps: float
+    points: DataFrame
+    tiles: DataFrame | None
 
+    @classmethod
+    def build(cls, train: DataFrame, eps: float, x: str = "x", y: str = "y", label: str = "label",
+              refine: int = 8) -> NeighbourIndex:
+        if eps < 0:
+            raise ValueError("the radius must not be negative")
+        points = (
+            _spots(train, x, y, "tx", "ty", F.col(label).alias("label"))
+            .groupBy("tx", "ty", "label").agg(F.count("*").alias("n"))
+        )
+        if eps == 0:
+            return cls(0.0, points, None)
+        cell = eps * (1 + _SLACK)  # a point at distance exactly eps is never two cells away
+        fine = cell / refine
+        points = points.withColumns({
+            "cx": _tile(F.col("tx"), cell), "cy": _tile(F.col("ty"), cell),
+            "sx": _tile(F.col("tx"), fine), "sy": _tile(F.col("ty"), fine),
+        })
+        tiles = (
+            points.groupBy(*_KEY, "label")
+            .agg(
+                F.sum("n").alias("n"), F.count("*").alias("points"),
+                F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1"),
+            )
+            .groupBy(*_KEY)
+            .agg(
+                F.collect_list(F.struct("label", "n")).alias("counts"),  # one entry per class
+                F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+                F.ceil(F.sum("points") / F.lit(_POINTS_PER_KEY)).cast("int").alias("parts"),
+            )
+        )
+        return cls(eps, points, tiles)
+
+    def materialise(self) -> NeighbourIndex:
+        """Written once, for repeated queries (a stream, a session of clicks)."""
+        points = checkpointed(self.points)
+        return NeighbourIndex(self.eps, points, None if self.tiles is None else checkpointed(self.tiles))
+
+    def label_counts(self, queries: DataFrame, id_col: str = "flow_id", x: str = "x", y: str = "y") -> DataFrame:
+        """(id, label, n): training points of each label within the closed ball around every query point."""
+        asked = _spots(queries, x, y, "qx", "qy", F.col(id_col))
+        spots = asked.select("qx", "qy").distinct()
+        if self.tiles is None:
+            same = (F.col("qx") == F.col("tx")) & (F.col("qy") == F.col("ty"))
+            hits = spots.join(self.points, same).select("qx", "qy", "label", "n")
+        else:
+            hits = self._ball_counts(spots)
+        return asked.join(hits, ["qx", "qy"]).select(id_col, "label", "n")
+
+    def _ball_counts(self, spots: DataFrame) -> DataFrame:
+        cell, square = self.eps * (1 + _SLACK), self.eps * self.eps
+        qx, qy = F.col("qx"), F.col("qy")
+        steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+        around = (
+            spots.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+            .select("qx", "qy", (_tile(qx, cell) + F.col("dx")).alias("cx"), (_tile(qy, cell) + F.col("dy")).alias("cy"))
+        )
+        near = _square(F.greatest(F.col("x0") - qx, qx - F.col("x1"), F.lit(0.0))) + _square(
+            F.greatest(F.col("y0") - qy, qy - F.col("y1"), F.lit(0.0))
+        )
+        far = _square(F.greatest(F.abs(qx - F.col("x0")), F.abs(qx - F.col("x1")))) + _square(
+            F.greatest(F.abs(qy - F.col("y0")), F.abs(qy - F.col("y1")))
+        )
+        met = (
+            around.join(self.tiles, ["cx", "cy"])
+            .where(near <= square * (1 + _SLACK))
+            .withColumn("inside", far <= square * (1 - _SLACK))
+        )
+        whole = met.where("inside").select("qx", "qy", F.inline("counts"))
 
-def _ball_counts(spots: DataFrame, points: DataFrame, eps: float, refine: int) -> DataFrame:
-    cell = eps * (1 + _SLACK)  # a point at distance exactly eps is never two cells away
-    fine = cell / refine
-    keyed = points.withColumns({
-        "cx": _tile(F.col("tx"), cell), "cy": _tile(F.col("ty"), cell),
-        "sx": _tile(F.col("tx"), fine), "sy": _tile(F.col("ty"), fine),
-    })
-    key = ["cx", "cy", "sx", "sy"]
-    tiles = (
-        keyed.groupBy(*key, "label")
-        .agg(
-            F.sum("n").alias("n"), F.count("*").alias("points"),
-            F.min("tx").alias("x0"), F.max("tx").alias("x1"), F.min("ty").alias("y0"), F.max("ty").alias("y1"),
+        # tiles with many points are split over several keys; the query row is repeated once per key
+        split = self.points.join(self.tiles.select(*_KEY, "parts"), _KEY).withColumn(
+            "part", F.pmod(F.xxhash64("tx", "ty", "label"), F.col("parts")).cast("int")
         )
-        .groupBy(*key)
-        .agg(
-            F.collect_list(F.struct("label", "n")).alias("counts"),  # one entry per class
-            F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-            F.ceil(F.sum("points") / F.lit(_POINTS_PER_KEY)).cast("int").alias("parts"),
+        cut = met.where(~F.col("inside")).select(
+            "qx", "qy", *_KEY, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
         )
-    )
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    around = (
-        spots.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-        .select(
-            "qx", "qy",
-            (_tile(F.col("qx"), cell) + F.col("dx")).alias("cx"), (_tile(F.col("qy"), cell) + F.col("dy")).alias("cy"),
+        checked = (
+            cut.join(split.select(*_KEY, "part", "tx", "ty", "label", "n"), [*_KEY, "part"])
+            .where(_square(F.col("tx") - qx) + _square(F.col("ty") - qy) <= square)
+            .select("qx", "qy", "label", "n")
         )
-    )
-    qx, qy = F.col("qx"), F.col("qy")
-    zero = F.lit(0.0)
-    near = _square(F.greatest(F.col("x0") - qx, qx - F.col("x1"), zero)) + _square(
-        F.greatest(F.col("y0") - qy, qy - F.col("y1"), zero)
-    )
-    far = _square(F.greatest(F.abs(qx - F.col("x0")), F.abs(qx - F.col("x1")))) + _square(
-        F.greatest(F.abs(qy - F.col("y0")), F.abs(qy - F.col("y1")))
-    )
-    square = eps * eps
-    met = (
-        around.join(tiles, ["cx", "cy"])
-        .where(near <= square * (1 + _SLACK))
-        .withColumn("inside", far <= square * (1 - _SLACK))
-    )
-    whole = met.where("inside").select("qx", "qy", F.inline("counts"))
+        return whole.unionByName(checked).groupBy("qx", "qy", "label").agg(F.sum("n").alias("n"))
 
-    # tiles with many points are split over several keys; the query row is repeated once per key
-    parts = tiles.select(*key, "parts")
-    split = keyed.join(parts, key).withColumn(
-        "part", F.pmod(F.xxhash64("tx", "ty", "label"), F.col("parts")).cast("int")
-    )
-    cut = met.where(~F.col("inside")).select(
-        "qx", "qy", *key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    checked = (
-        cut.join(split.select(*key, "part", "tx", "ty", "label", "n"), [*key, "part"])
-        .where(_square(F.col("tx") - qx) + _square(F.col("ty") - qy) <= square)
-        .select("qx", "qy", "label", "n")
-    )
-    return whole.unionByName(checked).groupBy("qx", "qy", "label").agg(F.sum("n").alias("n"))
+
+def _spots(df: DataFrame, x: str, y: str, as_x: str, as_y: str, *keep: Column) -> DataFrame:
+    """Coordinates without nulls and NaN; adding 0.0 folds -0.0 into 0.0, so equal coordinates are equal keys."""
+    known = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    return df.where(known).select((F.col(x) + 0.0).alias(as_x), (F.col(y) + 0.0).alias(as_y), *keep)
+
+
+def eps_label_counts(queries: DataFrame, train: DataFrame, eps: float, id_col: str = "flow_id", x: str = "x",
+                     y: str = "y", label: str = "label", refine: int = 8) -> DataFrame:
+    """Ball counts for one table of queries."""
+    return NeighbourIndex.build(train, eps, x, y, label, refine).label_counts(queries, id_col, x, y)
 
 
 def neighbour_histogram(counts: DataFrame, id_col: str = "flow_id") -> DataFrame:
@@ -163,10 +186,19 @@ class EpsNeighbourClassifier:
 class EpsNeighbourModel:
     def __init__(self, spec: EpsNeighbourClassifier, train: DataFrame):
         self.spec, self.train = spec, train
+        self._prepared: dict[float, NeighbourIndex] = {}
 
-    def _counts(self, points: DataFrame, eps: float) -> DataFrame:
+    def prepare(self, eps: float) -> EpsNeighbourModel:
+        """Write the index of a radius once, so that later calls with it only pay for their queries."""
+        self._prepared[eps] = self._index(eps).materialise()
+        return self
+
+    def _index(self, eps: float) -> NeighbourIndex:
         s = self.spec
-        return eps_label_counts(points, self.train, eps, s.id_col, s.x, s.y, s.label)
+        return self._prepared.get(eps) or NeighbourIndex.build(self.train, eps, s.x, s.y, s.label)
+
+    def _counts(self, points: DataFrame, eps: float) -> DataFrame:
+        return self._index(eps).label_counts(points, self.spec.id_col, self.spec.x, self.spec.y)
 
     def predict_proba(self, points: DataFrame, eps: float = 0.05) -> DataFrame:
         """(id, label, n, probability); labels absent from the ball have no row."""

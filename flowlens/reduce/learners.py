@@ -53,14 +53,16 @@ def logistic_gridsearch(label: str, rows: int, cs=C_GRID, folds: int = 3, parall
     return _search(model, grid, label, folds, parallelism)
 
 
-def linear_svc_gridsearch(label: str, rows: int, cs=C_GRID, folds: int = 3, parallelism: int = 4) -> CrossValidator:
-    """One-vs-rest linear SVMs, so that it takes categories too."""
-    grid, base = [], OneVsRest(labelCol=label, featuresCol="vec")
-    for c in cs:
-        svm = LinearSVC(labelCol=label, featuresCol="vec", regParam=1 / (c * rows), maxIter=50)
-        grid.append({base.classifier: svm})
-    base.setClassifier(LinearSVC(labelCol=label, featuresCol="vec"))
-    return _search(base, grid, label, folds, parallelism)
+def linear_svc_gridsearch(label: str, rows: int, cs=C_GRID, classes: int = 2, folds: int = 3,
+                          parallelism: int = 4) -> CrossValidator:
+    """Linear SVM; with more than two classes one per class against the rest."""
+    if classes == 2:
+        svm = LinearSVC(labelCol=label, featuresCol="vec", maxIter=50)
+        grid = ParamGridBuilder().addGrid(svm.regParam, [1 / (c * rows) for c in cs]).build()
+        return _search(svm, grid, label, folds, parallelism)
+    rest = OneVsRest(labelCol=label, featuresCol="vec", classifier=LinearSVC(labelCol=label, featuresCol="vec"))
+    machines = [LinearSVC(labelCol=label, featuresCol="vec", regParam=1 / (c * rows), maxIter=50) for c in cs]
+    return _search(rest, [{rest.classifier: m} for m in machines], label, folds, parallelism)
 
 
 def kmeans(label: str, k: int = 8) -> Estimator:
