@@ -30,12 +30,13 @@ def last_n_state(stream: DataFrame, n: int, index: str, category: str, predictio
     state_schema = f"{index} array<long>, " + ", ".join(f"{c} array<int>" for c in ints)
 
     def keep(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        parts = [f[[index, *ints]] for f in frames]
-        if state.exists:
-            parts.append(pd.DataFrame(dict(zip([index, *ints], state.get))))
-        held = pd.concat(parts).nlargest(n, index).sort_values(index)
-        state.update(tuple(held[c].tolist() for c in [index, *ints]))
-        yield held.assign(shard=key[0])[["shard", index, *ints]]
+        names = [index, *ints]
+        held = pd.DataFrame(dict(zip(names, state.get))) if state.exists else None
+        for frame in frames:
+            held = (frame[names] if held is None else pd.concat([held, frame[names]])).nlargest(n, index)
+        held = held.sort_values(index)
+        state.update(tuple(held[c].tolist() for c in names))
+        yield held.assign(shard=key[0])[["shard", *names]]
 
     return rows.groupBy("shard").applyInPandasWithState(
         keep, schema, state_schema, "update", GroupStateTimeout.NoTimeout
@@ -53,7 +54,7 @@ def merge_shards(path: str, n: int, index: str):
         batch = batch.persist()
         try:
             held = batch
-            if epoch > 0 and sinks.epoch_exists(spark, f"{path}/shards", epoch - 1):
+            if epoch > 0:
                 before = spark.read.parquet(sinks.epoch_path(f"{path}/shards", epoch - 1))
                 held = before.join(batch.select("shard").distinct(), "shard", "left_anti").unionByName(batch)
             sinks.write_epoch(held.coalesce(1), f"{path}/shards", epoch)
