@@ -31,7 +31,10 @@ def _square(x: Column) -> Column:
 
 @dataclass
 class NeighbourIndex:
-    """Training points prepared for ball queries of one radius: weighted points by tile, and the tiles."""
+    """Training points prepared for ball queries of one radius: weighted points by tile, and the tiles.
+
+    Both are written once: they are used several times in every query, and by every later query.
+    """
 
     eps: float
     points: DataFrame
@@ -47,13 +50,13 @@ class NeighbourIndex:
             .groupBy("tx", "ty", "label").agg(F.count("*").alias("n"))
         )
         if eps == 0:
-            return cls(0.0, points, None)
+            return cls(0.0, checkpointed(points), None)
         cell = eps * (1 + _SLACK)  # a point at distance exactly eps is never two cells away
         fine = cell / refine
-        points = points.withColumns({
+        points = checkpointed(points.withColumns({
             "cx": _tile(F.col("tx"), cell), "cy": _tile(F.col("ty"), cell),
             "sx": _tile(F.col("tx"), fine), "sy": _tile(F.col("ty"), fine),
-        })
+        }))
         tiles = (
             points.groupBy(*_KEY, "label")
             .agg(
@@ -67,12 +70,8 @@ class NeighbourIndex:
                 F.ceil(F.sum("points") / F.lit(_POINTS_PER_KEY)).cast("int").alias("parts"),
             )
         )
-        return cls(eps, points, tiles)
+        return cls(eps, points, checkpointed(tiles))
 
-    def materialise(self) -> NeighbourIndex:
-        """Written once, for repeated queries (a stream, a session of clicks)."""
-        points = checkpointed(self.points)
-        return NeighbourIndex(self.eps, points, None if self.tiles is None else checkpointed(self.tiles))
 
     def label_counts(self, queries: DataFrame, id_col: str = "flow_id", x: str = "x", y: str = "y") -> DataFrame:
         """(id, label, n): training points of each label within the closed ball around every query point."""
@@ -189,16 +188,14 @@ class EpsNeighbourModel:
         self._prepared: dict[float, NeighbourIndex] = {}
 
     def prepare(self, eps: float) -> EpsNeighbourModel:
-        """Write the index of a radius once, so that later calls with it only pay for their queries."""
-        self._prepared[eps] = self._index(eps).materialise()
-        return self
-
-    def _index(self, eps: float) -> NeighbourIndex:
+        """Build the index of a radius now; later calls with it only pay for their queries."""
         s = self.spec
-        return self._prepared.get(eps) or NeighbourIndex.build(self.train, eps, s.x, s.y, s.label)
+        if eps not in self._prepared:
+            self._prepared[eps] = NeighbourIndex.build(self.train, eps, s.x, s.y, s.label)
+        return self
 
     def _counts(self, points: DataFrame, eps: float) -> DataFrame:
-        return self._index(eps).label_counts(points, self.spec.id_col, self.spec.x, self.spec.y)
+        return self.prepare(eps)._prepared[eps].label_counts(points, self.spec.id_col, self.spec.x, self.spec.y)
 
     def predict_proba(self, points: DataFrame, eps: float = 0.05) -> DataFrame:
         """(id, label, n, probability); labels absent from the ball have no row."""

@@ -7,6 +7,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.schema import CATEGORIES
 
 
+def _halo(df: DataFrame, index: str, n: int, block: int) -> tuple[DataFrame, Column]:
+    """Rows with their block, those within n-1 of its end also in the next one; and the home block of a row."""
+    i = F.col(index)
+    home = F.floor(i / block).cast("long")
+    late = F.pmod(i, F.lit(block)) > block - n
+    copies = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
+    return df.withColumn("_block", F.explode(copies)), home
+
+
 def last_n(df: DataFrame, index: str, n: int, aggregates: dict[str, Column], keep: list[str] = (),
            block: int | None = None) -> DataFrame:
     """``aggregates`` over the last ``n`` rows at every row of a contiguous ``index``.
@@ -17,11 +26,7 @@ def last_n(df: DataFrame, index: str, n: int, aggregates: dict[str, Column], kee
     block = block or max(4096, 32 * n)
     if block < n:
         raise ValueError("a block must hold at least n rows")
-    i = F.col(index)
-    home = F.floor(i / block).cast("long")
-    late = F.pmod(i, F.lit(block)) > block - n
-    copies = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
-    halo = df.withColumn("_block", F.explode(copies))
+    halo, home = _halo(df, index, n, block)
     window = Window.partitionBy("_block").orderBy(index).rowsBetween(-(n - 1), 0)
     return (
         halo.select(index, *keep, "_block", *[e.over(window).alias(name) for name, e in aggregates.items()])
@@ -30,10 +35,28 @@ def last_n(df: DataFrame, index: str, n: int, aggregates: dict[str, Column], kee
     )
 
 
+def last_n_sums(df: DataFrame, index: str, n: int, terms: dict[str, Column], keep: list[str] = (),
+                block: int | None = None) -> DataFrame:
+    """Sums over the last ``n`` rows: a running sum minus the running sum n rows before, so the cost of a
+    row does not depend on n."""
+    block = block or max(4096, 32 * n)
+    if block < n:
+        raise ValueError("a block must hold at least n rows")
+    halo, home = _halo(df, index, n, block)
+    by_index = Window.partitionBy("_block").orderBy(index)
+    running = by_index.rowsBetween(Window.unboundedPreceding, 0)
+    summed = halo.select(index, *keep, "_block", *[F.sum(e).over(running).alias(name) for name, e in terms.items()])
+    sums = F.struct(*terms)
+    before = summed.withColumn("_before", F.lag(sums, n).over(by_index))
+    return before.where(F.col("_block") == home).select(
+        index, *keep, *[(F.col(t) - F.coalesce(F.col(f"_before.{t}"), F.lit(0))).alias(t) for t in terms]
+    )
+
+
 def confusion_cells(category: str, pred: str) -> dict[str, Column]:
-    """One conditional sum per cell of the category x verdict matrix: ``c<category>_<verdict>``."""
+    """One 0/1 term per cell of the category x verdict matrix: ``c<category>_<verdict>``."""
     return {
-        f"c{c}_{v}": F.sum(((F.col(category) == c) & (F.col(pred) == v)).cast("long"))
+        f"c{c}_{v}": ((F.col(category) == c) & (F.col(pred) == v)).cast("long")
         for c in range(len(CATEGORIES)) for v in (0, 1)
     }
 
@@ -41,4 +64,4 @@ def confusion_cells(category: str, pred: str) -> dict[str, Column]:
 def rolling_category_confusion(df: DataFrame, index: str, category: str, pred: str, n: int = 200,
                                block: int | None = None) -> DataFrame:
     """The confusion matrix of the last ``n`` flows at every flow."""
-    return last_n(df, index, n, confusion_cells(category, pred), block=block)
+    return last_n_sums(df, index, n, confusion_cells(category, pred), block=block)
