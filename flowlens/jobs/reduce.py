@@ -60,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
     tsne = methods.add_parser("tsne", formatter_class=form)
     tsne.add_argument("--perplexity", type=float, default=30.0)
     tsne.add_argument("--early_exaggeration", type=float, default=30.0)
-    tsne.add_argument("--learning_rate", type=float, default=200.0)
+    tsne.add_argument("--learning_rate", type=float, default=200.0, help="0: follow the number of landmarks")
     tsne.add_argument("--n_iter", type=int, default=1000)
     tsne.add_argument("--n_iter_without_progress", type=int, default=300)
     tsne.add_argument("--min_grad_norm", type=float, default=1e-7)

@@ -57,11 +57,11 @@ def linear_svc_gridsearch(label: str, rows: int, cs=C_GRID, classes: int = 2, fo
                           parallelism: int = 4) -> CrossValidator:
     """Linear SVM; with more than two classes one per class against the rest."""
     if classes == 2:
-        svm = LinearSVC(labelCol=label, featuresCol="vec", maxIter=50)
+        svm = LinearSVC(labelCol=label, featuresCol="vec", maxIter=30, tol=1e-4)
         grid = ParamGridBuilder().addGrid(svm.regParam, [1 / (c * rows) for c in cs]).build()
         return _search(svm, grid, label, folds, parallelism)
     rest = OneVsRest(labelCol=label, featuresCol="vec", classifier=LinearSVC(labelCol=label, featuresCol="vec"))
-    machines = [LinearSVC(labelCol=label, featuresCol="vec", regParam=1 / (c * rows), maxIter=50) for c in cs]
+    machines = [LinearSVC(labelCol=label, featuresCol="vec", regParam=1 / (c * rows), maxIter=30, tol=1e-4) for c in cs]
     return _search(rest, [{rest.classifier: m} for m in machines], label, folds, parallelism)
 
 

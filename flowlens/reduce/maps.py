@@ -95,12 +95,13 @@ class LandmarkTsne(Reducer):
 
     A task owns some landmarks with their affinity lists; positions (landmarks x size numbers) go out with the
     closure, forces of the owned rows come back. Attraction runs over the lists, repulsion over all landmarks.
+    Without a ``learning_rate`` the pace follows the number of landmarks.
     """
 
     name = "tsne"
 
     def __init__(self, size: int = 2, perplexity: float = 30.0, early_exaggeration: float = 30.0,
-                 learning_rate: float = 200.0, n_iter: int = 1000, n_iter_without_progress: int = 300,
+                 learning_rate: float | None = None, n_iter: int = 1000, n_iter_without_progress: int = 300,
                  min_grad_norm: float = 1e-7, landmarks: int = 2000, seed: int = 0, key: str = "row_id",
                  features: str = "features", output: str = "embedding"):
         super().__init__(size, features, output)
@@ -130,6 +131,7 @@ class LandmarkTsne(Reducer):
         y = np.random.default_rng(self.seed).normal(0, 1e-4, (n, self.size))
         speed, gains, history = np.zeros_like(y), np.ones_like(y), []
         early = min(250, self.n_iter // 4)
+        pace = self.learning_rate or max(n / self.early_exaggeration / 4, 1.0)
         for step in range(self.n_iter):
             pull, push, cost, mass = forces(graph, y)
             boost = self.early_exaggeration if step < early else 1.0
@@ -137,7 +139,7 @@ class LandmarkTsne(Reducer):
             history.append(float(cost + np.log(mass)))  # the divergence up to the entropy of the affinities
             momentum = 0.5 if step < early else 0.8
             gains = np.maximum(np.where(np.sign(grad) != np.sign(speed), gains + 0.2, gains * 0.8), 0.01)
-            speed = momentum * speed - self.learning_rate * gains * grad
+            speed = momentum * speed - pace * gains * grad
             y = y + speed
             y = y - y.mean(axis=0)
             late = history[early:]

@@ -35,15 +35,16 @@ class FlowDataset:
 
     @classmethod
     def prepare(cls, capture: DataFrame, train: DataFrame, test: DataFrame, path: str | None = None,
-                val_percent: int = 20, constant: str = "zero", strict_finite: bool = False) -> FlowDataset:
-        """Domain and scale come from the capture; the training table is split into train and val by row hash."""
+                val_percent: int = 20, constant: str = "zero", strict_finite: bool = True) -> FlowDataset:
+        """Domain and scale come from the capture; the training table is split into train and val by row hash.
+
+        Models need finite features, so here a -inf rate becomes 0 unless ``strict_finite`` is switched off.
+        """
         spark = capture.sparkSession
         path = path or work_path(spark, "dataset")
         whole = clean_flows(capture, strict_finite)
         encoder = FlowEncoder(FEATURE_CATEGORICALS, [*NUMERIC_COLUMNS, "rate"]).fit(whole)
-        # a surviving -inf rate would make its scaled column useless, so it takes no part in the statistics
-        known = whole.withColumn("rate", F.when(F.col("rate") > float("-inf"), F.col("rate")))
-        scaler = VectorScaler.fit(encoder.transform(known).select("features"), constant=constant)
+        scaler = VectorScaler.fit(encoder.transform(whole).select("features"), constant=constant)
 
         def ready(df: DataFrame) -> DataFrame:
             cleaned = encoder.transform(clean_flows(df, strict_finite))
