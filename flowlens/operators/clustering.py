@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from flowlens.functions.vectors import matrix_of
 from flowlens.operators.classification import pair_counts
+from flowlens.operators.landmarks import hash_sample
 
 SILHOUETTE_SAMPLE = 20_000  # fixed value: the silhouette is defined on a sample of at most this many rows
 
@@ -171,11 +172,8 @@ def silhouette_rows(df: DataFrame, features: str, cluster: str, key: str, sample
     The sample has a fixed bound, so it is broadcast whole; every task measures its rows against it
     block by block and keeps only the distance sum per cluster.
     """
-    picked = (
-        df.select(F.col(key), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c"))
-        .orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
-    )
-    table = picked.toArrow()
+    rows = df.select(F.col(key), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c"))
+    table = hash_sample(rows, key, sample, seed).toArrow()
     points = matrix_of(table["x"]) if table.num_rows else np.zeros((0, 1))
     labels, codes = np.unique(table["c"].to_numpy(zero_copy_only=False), return_inverse=True)
     onehot = np.eye(len(labels))[codes] if len(labels) else np.zeros((0, 0))

@@ -16,11 +16,27 @@ from flowlens.functions.vectors import list_column, matrix_of
 MAX_LANDMARKS = 20_000
 
 
+def hash_sample(df: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
+    """The ``count`` rows first in hash order of a unique key: the same rows for any partitioning.
+
+    On tables much larger than the sample only rows below a hash bound enter the ordering, so a task never
+    hands over its own ``count`` rows; the bound leaves room for chance, and a short sample falls back to none.
+    """
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+    total = df.count()
+    if total > 4 * count:
+        share = (count + 10 * count ** 0.5 + 100) / total
+        below = df.where(place < int((1 << 40) * share))
+        if share < 1 and below.count() >= count:
+            df = below
+    return df.orderBy(place, key).limit(count)
+
+
 def choose_landmarks(df: DataFrame, key: str, count: int, order: Column | None = None, seed: int = 0) -> DataFrame:
-    """The ``count`` rows first in hash order: a repeatable sample without a full sort."""
+    """A repeatable sample with a checked bound; ``order`` replaces the hash order."""
     if count > MAX_LANDMARKS:
         raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
-    return df.orderBy(order if order is not None else F.xxhash64(F.col(key), F.lit(seed)), key).limit(count)
+    return hash_sample(df, key, count, seed) if order is None else df.orderBy(order, key).limit(count)
 
 
 def fetch(landmarks: DataFrame, key: str, features: str) -> tuple[np.ndarray, np.ndarray]:

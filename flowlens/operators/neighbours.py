@@ -70,19 +70,47 @@ class NeighbourIndex:
                 F.ceil(F.sum("points") / F.lit(_POINTS_PER_KEY)).cast("int").alias("parts"),
             )
         )
-        return cls(eps, points, checkpointed(tiles))
+        return cls(float(eps), points, checkpointed(tiles))
 
 
+    def spot_counts(self, queries: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+        """(qx, qy, label, n) for every distinct query position: copies are asked once."""
+        spots = _spots(queries, x, y, "qx", "qy").distinct()
+        if self.tiles is None:
+            same = (F.col("qx") == F.col("tx")) & (F.col("qy") == F.col("ty"))
+            return spots.join(self.points, same).select("qx", "qy", "label", "n")
+        return self._ball_counts(spots)
+
     def label_counts(self, queries: DataFrame, id_col: str = "flow_id", x: str = "x", y: str = "y") -> DataFrame:
         """(id, label, n): training points of each label within the closed ball around every query point."""
         asked = _spots(queries, x, y, "qx", "qy", F.col(id_col))
-        spots = asked.select("qx", "qy").distinct()
-        if self.tiles is None:
-            same = (F.col("qx") == F.col("tx")) & (F.col("qy") == F.col("ty"))
-            hits = spots.join(self.points, same).select("qx", "qy", "label", "n")
-        else:
-            hits = self._ball_counts(spots)
-        return asked.join(hits, ["qx", "qy"]).select(id_col, "label", "n")
+        return asked.join(self.spot_counts(queries, x, y), ["qx", "qy"]).select(id_col, "label", "n")
+
+    def neighbourhood(self, queries: DataFrame, x: str = "x", y: str = "y",
+                      labels: list[int] | None = None) -> DataFrame:
+        """Every query row with its number of neighbours, density, predicted label and, for the given
+        ``labels``, one probability column each.
+
+        The prediction is the most frequent label, ties going to the smaller one; an empty ball predicts -1.
+        Counts are folded per position first, so the query rows meet one row each.
+        """
+        n, size = F.col("n"), F.col("neighbours")
+        folded = self.spot_counts(queries, x, y).groupBy("qx", "qy").agg(
+            F.sum("n").alias("neighbours"),
+            F.max_by("label", F.struct(n, -F.col("label"))).cast("int").alias("predicted"),
+            *[F.sum(F.when(F.col("label") == c, n).otherwise(0)).alias(f"_n{c}") for c in labels or []],
+        )
+        out = queries.withColumns({"qx": F.col(x) + 0.0, "qy": F.col(y) + 0.0}).join(folded, ["qx", "qy"], "left")
+        out = out.withColumns({
+            "neighbours": F.coalesce("neighbours", F.lit(0)).cast("long"),
+            "predicted": F.coalesce("predicted", F.lit(-1)),
+        })
+        extra = {
+            "density": size / F.lit(self.eps) if self.eps else F.lit(None).cast("double"),
+            "outlierness": F.when(size > 0, F.lit(self.eps) / size),
+            **{f"p_{c}": F.coalesce(F.col(f"_n{c}") / size, F.lit(0.0)) for c in labels or []},
+        }
+        return out.withColumns(extra).drop("qx", "qy", *[f"_n{c}" for c in labels or []])
 
     def _ball_counts(self, spots: DataFrame) -> DataFrame:
         cell, square = self.eps * (1 + _SLACK), self.eps * self.eps
@@ -142,33 +170,6 @@ def neighbour_histogram(counts: DataFrame, id_col: str = "flow_id") -> DataFrame
     )
 
 
-def neighbourhood(queries: DataFrame, counts: DataFrame, eps: float, id_col: str = "flow_id",
-                  labels: list[int] | None = None) -> DataFrame:
-    """Every query row with its number of neighbours, density, predicted label and, for the given
-    ``labels``, one probability column each.
-
-    The prediction is the most frequent label, ties going to the smaller one; an empty ball predicts -1.
-    """
-    n = F.col("n")
-    folded = counts.groupBy(id_col).agg(
-        F.sum("n").alias("neighbours"),
-        F.max_by("label", F.struct(n, -F.col("label"))).cast("int").alias("predicted"),
-        *[F.sum(F.when(F.col("label") == c, n).otherwise(0)).alias(f"_n{c}") for c in labels or []],
-    )
-    out = queries.join(folded, id_col, "left").withColumns({
-        "neighbours": F.coalesce("neighbours", F.lit(0)).cast("long"),
-        "predicted": F.coalesce("predicted", F.lit(-1)),
-    })
-    size = F.col("neighbours")
-    density = size / F.lit(float(eps)) if eps else F.lit(None).cast("double")
-    extra = {
-        "density": density,
-        "outlierness": F.when(size > 0, F.lit(float(eps)) / size),
-        **{f"p_{c}": F.coalesce(F.col(f"_n{c}") / size, F.lit(0.0)) for c in labels or []},
-    }
-    return out.withColumns(extra).drop(*[f"_n{c}" for c in labels or []])
-
-
 class EpsNeighbourClassifier:
     """Class probabilities of a 2-D point from the training points around it."""
 
@@ -194,15 +195,16 @@ class EpsNeighbourModel:
             self._prepared[eps] = NeighbourIndex.build(self.train, eps, s.x, s.y, s.label)
         return self
 
-    def _counts(self, points: DataFrame, eps: float) -> DataFrame:
-        return self.prepare(eps)._prepared[eps].label_counts(points, self.spec.id_col, self.spec.x, self.spec.y)
+    def _index(self, eps: float) -> NeighbourIndex:
+        return self.prepare(eps)._prepared[eps]
 
     def predict_proba(self, points: DataFrame, eps: float = 0.05) -> DataFrame:
         """(id, label, n, probability); labels absent from the ball have no row."""
-        return neighbour_histogram(self._counts(points, eps), self.spec.id_col)
+        s = self.spec
+        return neighbour_histogram(self._index(eps).label_counts(points, s.id_col, s.x, s.y), s.id_col)
 
     def explain(self, points: DataFrame, eps: float = 0.05, labels: list[int] | None = None) -> DataFrame:
-        return neighbourhood(points, self._counts(points, eps), eps, self.spec.id_col, labels)
+        return self._index(eps).neighbourhood(points, self.spec.x, self.spec.y, labels)
 
     def predict(self, points: DataFrame, eps: float = 0.05) -> DataFrame:
         return self.explain(points, eps).select(self.spec.id_col, "predicted")

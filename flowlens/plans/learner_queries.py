@@ -34,7 +34,7 @@ def _long_matrix(spark: SparkSession, values: np.ndarray) -> DataFrame:
 
 # ---- sums under the learners --------------------------------------------------------------------
 
-_CELLS = "SELECT category, row_id, unnest(range(64)) AS i, unnest(features) AS v FROM matrix"
+_CELLS = "SELECT category, row_id, CAST(unnest(range(64)) AS INT) AS i, unnest(features) AS v FROM matrix"
 
 
 @query("covariance_matrix", oracle(f"""
@@ -79,10 +79,10 @@ def landmark_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("knn_exact", oracle(f"""
-SELECT row_id, neighbour, rank, {round_sql('d2', 'd2')} FROM (
-  SELECT x.row_id, y.row_id AS neighbour, d2, row_number() OVER (PARTITION BY x.row_id ORDER BY d2, y.row_id) - 1 AS rank
+SELECT row_id, neighbour, CAST(r0 AS INT) AS rank, {round_sql('d2', 'd2')} FROM (
+  SELECT x.row_id, y.row_id AS neighbour, d2, row_number() OVER (PARTITION BY x.row_id ORDER BY d2, y.row_id) - 1 AS r0
   FROM matrix x, matrix y, LATERAL (SELECT list_sum(list_transform(list_zip(x.features, y.features),
-    lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2) d WHERE x.row_id <> y.row_id) r WHERE rank < 10""", "matrix"))
+    lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2) d WHERE x.row_id <> y.row_id) r WHERE r0 < 10""", "matrix"))
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.exact_knn(matrix(spark, sf_dir), 10), ["d2"])
 

@@ -70,7 +70,7 @@ def category_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLASSES = """
-SELECT split, class, row_number() OVER (PARTITION BY split ORDER BY class) - 1 AS dense_position, tp, support, predicted,
+SELECT split, class, CAST(row_number() OVER (PARTITION BY split ORDER BY class) - 1 AS INT) AS dense_position, tp, support, predicted,
   coalesce(tp::DOUBLE / nullif(predicted, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(support, 0), 0) AS recall,
   coalesce(2.0::DOUBLE * tp / nullif(support + predicted, 0), 0) AS f1
 FROM (SELECT split, class, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(support) AS BIGINT) AS support,

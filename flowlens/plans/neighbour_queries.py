@@ -21,22 +21,27 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return base.where("split = 'test'").drop("split"), base.where("split = 'train'").select("x", "y", "category")
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     test, train = _parts(spark, sf_dir)
-    return test, neighbours.eps_label_counts(test, train, EPS, label="category")
+    return neighbours.eps_label_counts(test, train, EPS, label="category")
+
+
+def _explained(spark: SparkSession, sf_dir: str, labels: list[int] | None = None) -> DataFrame:
+    test, train = _parts(spark, sf_dir)
+    return neighbours.EpsNeighbourClassifier().fit(train).explain(test, EPS, labels)
 
 
 @query("eps_range_join", oracle(_PAIRS, "flow_map"))
 def eps_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training flows within the radius of every test flow, counted per category."""
-    return _counts(spark, sf_dir)[1]
+    return _counts(spark, sf_dir)
 
 
 @query("neighbour_histogram", oracle(f"""
 SELECT flow_id, label, n, {round_sql('n::DOUBLE / sum(n) OVER (PARTITION BY flow_id)', 'probability')}
 FROM ({_PAIRS}) p""", "flow_map"))
 def neighbour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(neighbours.neighbour_histogram(_counts(spark, sf_dir)[1]), ["probability"])
+    return rounded(neighbours.neighbour_histogram(_counts(spark, sf_dir)), ["probability"])
 
 
 _BEST = f"""
@@ -48,16 +53,14 @@ FROM (SELECT * FROM flow_map WHERE split = 'test') q LEFT JOIN (
 
 @query("visual_predict", oracle(f"SELECT flow_id, category, predicted FROM ({_BEST}) b", "flow_map"))
 def visual_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test, counts = _counts(spark, sf_dir)
-    return neighbours.neighbourhood(test, counts, EPS).select("flow_id", "category", "predicted")
+    return _explained(spark, sf_dir).select("flow_id", "category", "predicted")
 
 
 @query("neighbour_density", oracle(f"""
 SELECT flow_id, neighbours, {round_sql(f'neighbours / {EPS}::DOUBLE', 'density')},
   {round_sql(f'{EPS}::DOUBLE / nullif(neighbours, 0)', 'outlierness')} FROM ({_BEST}) b""", "flow_map"))
 def neighbour_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test, counts = _counts(spark, sf_dir)
-    out = neighbours.neighbourhood(test, counts, EPS).select("flow_id", "neighbours", "density", "outlierness")
+    out = _explained(spark, sf_dir).select("flow_id", "neighbours", "density", "outlierness")
     return rounded(out, ["density", "outlierness"])
 
 
@@ -70,10 +73,8 @@ FROM ({_BEST}) b LEFT JOIN (SELECT flow_id, """ + ", ".join(
   FROM ({_PAIRS}) p GROUP BY flow_id) h ON h.flow_id = b.flow_id""", "flow_map"))
 def explain_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is every test flow most like? Class probabilities, prediction and density of its neighbourhood."""
-    test, train = _parts(spark, sf_dir)
-    model = neighbours.EpsNeighbourClassifier().fit(train)
     labels = list(range(10))
-    out = model.explain(test, EPS, labels).withColumn("visual_ok", F.col("predicted") == F.col("category"))
+    out = _explained(spark, sf_dir, labels).withColumn("visual_ok", F.col("predicted") == F.col("category"))
     return rounded(out, ["density", *[f"p_{c}" for c in labels]]).select(
         "flow_id", "category", "predicted", "neighbours", "density", "visual_ok", *[f"p_{c}" for c in labels])
 

@@ -72,9 +72,8 @@ GROUP BY p.predictor, c.category"""
 def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "confusion")
     counts = windows.confusion_stream(_replayed(_scored(spark, sf_dir), "flow_id"), "category", _PREDICTIONS)
-    sinks.drain(counts, lambda batch, epoch: sinks.write_epoch(batch, path, epoch), "update")
-    newest = sinks.last_value_per_key(sinks.read_epochs(spark, path), ["predictor", "category", "pred"], "n")
-    return windows.zero_filled(newest)
+    sinks.drain(counts, sinks.write_newest(path), "complete")
+    return windows.zero_filled(sinks.latest_epoch(spark, path))
 
 
 @query("stream_confusion_last_n", oracle(_matrix_sql(_LAST), "flows"))

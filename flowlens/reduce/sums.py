@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 # vectors at least this long are added in two rounds, so no single task receives one from every other task
-_WIDE = 8192
+_WIDE = 1024
 _FAN = 64
 
 

@@ -18,6 +18,23 @@ def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(epoch_path(path, epoch))
 
 
+def drop_epoch(spark: SparkSession, path: str, epoch: int) -> None:
+    """Remove a superseded epoch written by the same stream."""
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(epoch_path(path, epoch))
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def write_newest(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer for complete results: the newest epoch counts, older ones are removed."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        write_epoch(batch, path, epoch)
+        if epoch >= keep:
+            drop_epoch(batch.sparkSession, path, epoch - keep)
+
+    return write
+
+
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:
     """All epochs, with their number."""
     return spark.read.option("basePath", path).parquet(f"{path}/epoch=*")

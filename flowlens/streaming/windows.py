@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowlens.operators.classification import category_confusion
@@ -61,6 +61,9 @@ def merge_shards(path: str, n: int, index: str):
             shards = spark.read.parquet(sinks.epoch_path(f"{path}/shards", epoch))
             window = shards.drop("shard").orderBy(F.desc(index)).limit(n)
             sinks.write_epoch(window, f"{path}/window", epoch)
+            if epoch >= 2:  # the previous epoch stays, for a repeat of this one
+                for part in ("shards", "window"):
+                    sinks.drop_epoch(spark, f"{path}/{part}", epoch - 2)
         finally:
             batch.unpersist()
 
@@ -74,7 +77,8 @@ def long_predictions(df: DataFrame, predictions: list[str]) -> DataFrame:
 
 
 def confusion_stream(stream: DataFrame, category: str, predictions: list[str]) -> DataFrame:
-    """Counts of the whole stream so far per predictor, category and verdict."""
+    """Counts of the whole stream so far per predictor, category and verdict: at most a few dozen rows of state,
+    so complete mode suits it."""
     return long_predictions(stream.select(F.col(category).alias("category"), *predictions), predictions).groupBy(
         "predictor", "category", "pred").agg(F.count("*").alias("n"))
 
@@ -94,7 +98,7 @@ def window_confusion(window: DataFrame, category: str, predictions: list[str]) -
     return category_confusion(long, "category", "pred", ["predictor"])
 
 
-def zero_filled(counts: DataFrame, predictor: Column | None = None) -> DataFrame:
+def zero_filled(counts: DataFrame) -> DataFrame:
     """Accumulated counts as the ten-row matrix of each predictor."""
     cells = [
         F.sum(F.when((F.col("category") == c) & (F.col("pred") == v), F.col("n")).otherwise(0)).alias(f"c{c}_{v}")

@@ -125,3 +125,9 @@ def test_affinity_graph_is_symmetric_and_sums_to_one(spark):
 def test_landmark_bound(spark):
     with pytest.raises(ValueError):
         landmarks.choose_landmarks(spark.range(5), "id", landmarks.MAX_LANDMARKS + 1)
+
+
+def test_sample_does_not_depend_on_size_shortcuts(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    few = [r.k for r in landmarks.hash_sample(df, "k", 50).collect()]
+    assert few == [r.k for r in landmarks.hash_sample(df.repartition(3), "k", 2000).collect()][:50]
