@@ -1,6 +1,6 @@
 """spark-submit job: reduce, compare and report.
 
-    spark-submit -m flowlens.jobs.reduce [--size 2] [--number 5] [--train JSON] DATAPATH METHOD [options]
+    spark-submit -m flowlens.jobs.reduce [--size 2] [--number 5] [--train JSON] METHOD [options] DATAPATH
 
 DATAPATH holds three CSV tables with headers: ``*_all.csv``, ``*training-set.csv`` and ``*testing-set.csv``
 (or name them with --capture, --train-table, --test-table).
@@ -31,7 +31,8 @@ NET_METHODS = {
 def parser() -> argparse.ArgumentParser:
     form = argparse.ArgumentDefaultsHelpFormatter
     top = argparse.ArgumentParser(prog="flowlens.jobs.reduce", formatter_class=form)
-    top.add_argument("datapath")
+    methods = top.add_subparsers(dest="method", required=True)
+    top.add_argument("datapath", help="folder of the three tables")
     top.add_argument("--capture", help="capture CSV, relative to DATAPATH", default="*_all.csv")
     top.add_argument("--train-table", help="training CSV", default="*training-set.csv")
     top.add_argument("--test-table", help="test CSV", default="*testing-set.csv")
@@ -39,7 +40,6 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--number", type=int, default=5, help="independent runs to average")
     top.add_argument("--train", type=json.loads, default={}, help="training options as JSON, over the defaults")
     top.add_argument("--output", help="also write the score table as Parquet")
-    methods = top.add_subparsers(dest="method", required=True)
 
     methods.add_parser("pca", formatter_class=form)
     lda = methods.add_parser("lda", formatter_class=form)
@@ -67,9 +67,11 @@ def parser() -> argparse.ArgumentParser:
     tsne.add_argument("--landmarks", type=int, default=2000)
     tsne.add_argument("--random_state", type=int, default=0)
     tsne.add_argument("--model_path")
+    _without_effect(tsne, "--metric", "--init", "--verbose", "--method", "--angle")
     mds = methods.add_parser("mds", formatter_class=form)
     mds.add_argument("--landmarks", type=int, default=500)
     mds.add_argument("--random_state", type=int, default=0)
+    _without_effect(mds, "--metric", "--n_init", "--max_iter", "--verbose", "--eps", "--n_jobs", "--dissimilarity")
 
     weights = methods.add_parser("weights", formatter_class=form)
     weights.add_argument("--bin_ae_path", help="model path with %%s for the weight")
@@ -79,6 +81,12 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _without_effect(parser: argparse.ArgumentParser, *options: str) -> None:
+    """Solver options that have no counterpart here; accepted, so that existing command lines run."""
+    for option in options:
+        parser.add_argument(option, help="accepted without effect")
+
+
 def make_reducer(args: argparse.Namespace) -> Reducer:
     if args.method == "pca":
         return linear.PcaReducer(args.size)

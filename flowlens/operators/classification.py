@@ -85,28 +85,46 @@ def averaged_metrics(df: DataFrame, truth: str, pred: str, by: list[str] = ()) -
     return _averages(per_class_metrics(df, truth, pred, by), by)
 
 
-def _averages(classes: DataFrame, by: list[str]) -> DataFrame:
+# the averaged battery, in report order
+AVERAGES = ["accuracy", "f1_macro", "f1_micro", "precision_macro", "precision_micro", "recall_macro", "recall_micro"]
+
+
+def _average_columns() -> list[Column]:
     tp, support, predicted = (F.sum(c) for c in ("tp", "support", "predicted"))
     p_micro, r_micro = ratio(tp, predicted), ratio(tp, support)
-    return classes.groupBy(*by).agg(
-        ratio(tp, support).alias("accuracy"),
-        F.avg("f1").alias("f1_macro"), f_score(p_micro, r_micro).alias("f1_micro"),
-        F.avg("precision").alias("precision_macro"), p_micro.alias("precision_micro"),
-        F.avg("recall").alias("recall_macro"), r_micro.alias("recall_micro"),
-    )
+    columns = [
+        ratio(tp, support), F.avg("f1"), f_score(p_micro, r_micro), F.avg("precision"), p_micro, F.avg("recall"), r_micro
+    ]
+    return [c.alias(name) for c, name in zip(columns, AVERAGES)]
+
+
+def _averages(classes: DataFrame, by: list[str]) -> DataFrame:
+    return classes.groupBy(*by).agg(*_average_columns())
 
 
 def category_scores(df: DataFrame, truth: str, pred: str, by: list[str] = ()) -> DataFrame:
     """Long form (by..., metric, value) of accuracy, averages and the per-class metrics."""
-    classes = per_class_metrics(df, truth, pred, by)
-    averages = long_metrics(
-        _averages(classes, by), by,
-        ["accuracy", "f1_macro", "f1_micro", "precision_macro", "precision_micro", "recall_macro", "recall_micro"],
-    )
-    per_class = long_metrics(classes, [*by, "dense_position"], ["f1", "precision", "recall"]).select(
-        *by, F.concat_ws("_", "metric", "dense_position").alias("metric"), "value"
+    return _long_battery(per_class_metrics(df, truth, pred, by), by, "dense_position")
+
+
+def _long_battery(classes: DataFrame, by: list[str], position: str) -> DataFrame:
+    """Averages and per-class rows from one aggregate over the class table."""
+    exact = "accuracy" in classes.columns
+    folded = classes.groupBy(*by).agg(
+        *_average_columns(), F.collect_list(F.struct(position, "f1", "precision", "recall")).alias("_classes"),
+        *([F.first("accuracy").alias("_exact")] if exact else []),
     )
-    return averages.unionByName(per_class)
+    if exact:
+        folded = folded.withColumn("accuracy", F.col("_exact"))
+
+    def entry(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("metric"), value.alias("value"))
+
+    averages = F.array(*[entry(F.lit(m), F.col(m)) for m in AVERAGES])
+    per_class = F.flatten(F.transform("_classes", lambda c: F.array(*[
+        entry(F.concat_ws("_", F.lit(m), c[position].cast("string")), c[m]) for m in ("f1", "precision", "recall")
+    ])))
+    return folded.select(*by, F.inline(F.concat(averages, per_class)))
 
 
 def binary_scores(df: DataFrame, truth: str, pred: str, by: list[str] = ()) -> DataFrame:
@@ -122,20 +140,14 @@ def long_metrics(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
 
 def indicator_metrics(df: DataFrame, truth: str, pred: str, width: int, by: list[str] = ()) -> DataFrame:
     """The averaged battery on indicator rows: accuracy is an exact row match, micro runs over all cells."""
-    classes, exact = _indicator_classes(df, truth, pred, width, by)
-    averaged = _averages(classes, by).drop("accuracy")
-    if by:
-        return exact.join(averaged, list(by)).select(*by, *_INDICATOR_ORDER)
-    return exact.withColumn("_k", F.lit(0)).join(averaged.withColumn("_k", F.lit(0)), "_k").select(*_INDICATOR_ORDER)
+    classes = _indicator_classes(df, truth, pred, width, by)
+    averages = [c for c, name in zip(_average_columns(), AVERAGES) if name != "accuracy"]
+    return classes.groupBy(*by).agg(F.first("accuracy").alias("accuracy"), *averages)
 
 
-_INDICATOR_ORDER = [
-    "accuracy", "f1_macro", "f1_micro", "precision_macro", "precision_micro", "recall_macro", "recall_micro"
-]
-
-
-def _indicator_classes(df, truth, pred, width, by):
-    """Per-position totals of two indicator columns by one wide aggregate (no exploded rows)."""
+def _indicator_classes(df: DataFrame, truth: str, pred: str, width: int, by: list[str]) -> DataFrame:
+    """Per-position totals and metrics of two indicator columns, with the share of exactly equal rows, by one
+    wide aggregate (no exploded rows)."""
     def cell(column, i):
         return F.get(F.col(column), F.lit(i)).cast("long")
 
@@ -150,19 +162,12 @@ def _indicator_classes(df, truth, pred, width, by):
                  F.col(f"p{i}").alias("predicted"))
         for i in range(width)
     ])
-    totals = folded.select(*by, F.inline(rows))
     precision, recall = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
-    classes = totals.withColumns({"precision": precision, "recall": recall}).withColumn(
-        "f1", f_score(F.col("precision"), F.col("recall"))
-    )
-    return classes, folded.select(*by, "accuracy")
+    return folded.select(*by, "accuracy", F.inline(rows)).withColumns(
+        {"precision": precision, "recall": recall}
+    ).withColumn("f1", f_score(F.col("precision"), F.col("recall")))
 
 
 def indicator_scores(df: DataFrame, truth: str, pred: str, width: int, by: list[str] = ()) -> DataFrame:
     """Long form of the indicator battery, with the per-position metrics."""
-    classes, _ = _indicator_classes(df, truth, pred, width, by)
-    averages = long_metrics(indicator_metrics(df, truth, pred, width, by), by, _INDICATOR_ORDER)
-    per_class = long_metrics(classes, [*by, "class"], ["f1", "precision", "recall"]).select(
-        *by, F.concat_ws("_", "metric", "class").alias("metric"), "value"
-    )
-    return averages.unionByName(per_class)
+    return _long_battery(_indicator_classes(df, truth, pred, width, by), by, "class")

@@ -39,8 +39,9 @@ def agreement_sums(cells: DataFrame, by: list[str] = ()) -> DataFrame:
         F.sum(n * (a - 1) / 2).alias("pairs_t"),  # sum over classes of C(a, 2), spread over their cells
         F.sum(n * (b - 1) / 2).alias("pairs_p"),
         F.sum(n * F.ln(n)).alias("nlogn"), F.sum(n * F.ln(a)).alias("nloga"), F.sum(n * F.ln(b)).alias("nlogb"),
-        F.count_distinct("t").alias("classes"), F.count_distinct("p").alias("clusters"),
-    )
+        # marginal lists: one entry per class or cluster
+        F.collect_set(F.struct("t", a.alias("a"))).alias("ts"), F.collect_set(F.struct("p", b.alias("b"))).alias("ps"),
+    ).withColumns({"classes": F.size("ts"), "clusters": F.size("ps")})
     total, log_total = F.col("total"), F.ln("total")
     h_t = F.when(F.col("classes") > 1, log_total - F.col("nloga") / total).otherwise(0.0)
     h_p = F.when(F.col("clusters") > 1, log_total - F.col("nlogb") / total).otherwise(0.0)
@@ -94,53 +95,34 @@ def expected_information(a: float, b: float, n: float) -> float:
 
 @pandas_udf(DoubleType())
 def _expected_information(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([expected_information(*row) for row in zip(a, b, n)], dtype="float64")
+    return pd.Series([
+        sum(expected_information(x, y, total) for x in rows for y in columns) for rows, columns, total in zip(a, b, n)
+    ], dtype="float64")
 
 
-def expected_mutual_info(cells: DataFrame, by: list[str] = ()) -> DataFrame:
-    """E[MI] over all class x cluster pairs, empty cells included. Marginal lists are one entry per class."""
-    n = F.col("n").cast("double")
-    lists = cells.groupBy(*by).agg(
-        F.collect_set(F.struct("t", "a")).alias("ts"), F.collect_set(F.struct("p", "b")).alias("ps"),
-        F.sum(n).alias("total"),
-    )
-    pairs = lists.select(*by, "total", "ps", F.explode("ts").alias("t")).select(
-        *by, "total", F.col("t.a").cast("double").alias("a"), F.explode("ps").alias("p")
-    )
-    return pairs.groupBy(*by).agg(
-        F.sum(_expected_information("a", F.col("p.b").cast("double"), "total")).alias("expected_mi")
-    )
+def expected_mutual_info(sums: DataFrame) -> Column:
+    """E[MI] over all class x cluster pairs, empty cells included."""
+    return _expected_information(sums["ts.a"], sums["ps.b"], sums["total"])
 
 
-def adjusted_mutual_info(cells: DataFrame, by: list[str] = (), average: str = "arithmetic") -> DataFrame:
-    """(by..., adjusted_mutual_info)."""
-    key = list(by) or ["_k"]
-    keyed = cells if by else cells.withColumn("_k", F.lit(0))
-    sums, expected = agreement_sums(keyed, key), expected_mutual_info(keyed, key)
-    ht, hp, mi, e = (F.col(c) for c in ("h_truth", "h_pred", "mi", "expected_mi"))
+def adjusted_mutual_info(sums: DataFrame, average: str = "arithmetic") -> Column:
+    ht, hp, mi, e = sums["h_truth"], sums["h_pred"], sums["mi"], expected_mutual_info(sums)
     mean = {
         "arithmetic": (ht + hp) / 2, "max": F.greatest(ht, hp), "min": F.least(ht, hp), "geometric": F.sqrt(ht * hp)
     }[average]
-    trivial = (F.col("classes") == F.col("clusters")) & (F.col("classes") == 1)
-    value = F.when(trivial, 1.0).otherwise(F.coalesce(F.try_divide(mi - e, mean - e), F.lit(0.0)))
-    return sums.join(expected, key).select(*by, value.alias("adjusted_mutual_info"))
+    trivial = (sums["classes"] == sums["clusters"]) & (sums["classes"] == 1)
+    return F.when(trivial, 1.0).otherwise(F.coalesce(F.try_divide(mi - e, mean - e), F.lit(0.0)))
 
 
 def agreement_metrics(df: DataFrame, truth: str, pred: str, by: list[str] = ()) -> DataFrame:
-    """The six label-agreement metrics in one row per group."""
-    key = list(by) or ["_k"]
-    if not by:
-        df = df.withColumn("_k", F.lit(0))
-    cells = contingency(df, truth, pred, key)
-    sums = agreement_sums(cells, key)
+    """The six label-agreement metrics, one row per group."""
+    sums = agreement_sums(contingency(df, truth, pred, by), by)
     h, c = homogeneity(sums), completeness(sums)
-    table = sums.select(
-        *key, adjusted_rand(sums).alias("adj_rand_index"), h.alias("homogeneity"), c.alias("completeness"),
-        v_measure(h, c).alias("v-measure"), fowlkes_mallows(sums).alias("fowlkes-mallows"),
+    return sums.select(
+        *by, adjusted_rand(sums).alias("adj_rand_index"), adjusted_mutual_info(sums).alias("adj_mutual_info"),
+        h.alias("homogeneity"), c.alias("completeness"), v_measure(h, c).alias("v-measure"),
+        fowlkes_mallows(sums).alias("fowlkes-mallows"),
     )
-    ami = adjusted_mutual_info(cells, key).withColumnRenamed("adjusted_mutual_info", "adj_mutual_info")
-    out = table.join(ami, key)
-    return out if by else out.drop("_k")
 
 
 def calinski_harabasz(df: DataFrame, features: str, cluster: str) -> DataFrame:

@@ -20,12 +20,17 @@ from flowlens.operators.landmarks import squared_distances
 from flowlens.session import checkpointed
 
 _BLOCK = 2048
+_MAX_PIVOTS = 1024
 _SLACK = 1e-6
 
 
-def exact_knn(df: DataFrame, k: int, key: str = "row_id", features: str = "features", pivots: int = 64,
+def exact_knn(df: DataFrame, k: int, key: str = "row_id", features: str = "features", pivots: int | None = None,
               block: int = _BLOCK) -> DataFrame:
-    """(key, neighbour, rank, d2): the k nearest other rows of every row, ties by smaller id."""
+    """(key, neighbour, rank, d2): the k nearest other rows of every row, ties by smaller id.
+
+    By default there is one pivot per block of rows, up to a bound.
+    """
+    pivots = pivots or int(min(_MAX_PIVOTS, max(1, df.count() // block)))
     rows = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"))
     # copies: a vector needs at most its k + 1 smallest ids to answer for all of them
     order = F.row_number().over(Window.partitionBy("x").orderBy("id"))
@@ -40,16 +45,17 @@ def exact_knn(df: DataFrame, k: int, key: str = "row_id", features: str = "featu
                            F.lit(0).alias("rank"), F.lit(0.0).alias("d2")).where(F.lit(False))
 
     @arrow_udf("array<double>")
-    def to_centres(batch: pa.Array) -> pa.Array:
+    def closest_centre(batch: pa.Array) -> pa.Array:
         if len(batch) == 0:
             return pa.array([], pa.list_(pa.float64()))
-        return list_column(np.sqrt(squared_distances(matrix_of(batch), centres)))
+        square = squared_distances(matrix_of(batch), centres)
+        return list_column(np.column_stack([square.argmin(axis=1), np.sqrt(square.min(axis=1))]))
 
     # the assignment feeds several passes below
-    placed = distinct.withColumn("to", to_centres("x")).withColumn(
-        "home", (F.array_position("to", F.array_min("to")) - 1).cast("int")
-    ).withColumn("own", F.array_min("to"))
-    placed = checkpointed(placed)
+    placed = checkpointed(
+        distinct.withColumn("at", closest_centre("x"))
+        .withColumns({"home": F.get("at", F.lit(0)).cast("int"), "own": F.get("at", F.lit(1))}).drop("at")
+    )
 
     # per group: size and radius, and the distances of its rows closest to the pivot (k + 1 numbers per group)
     near = F.row_number().over(Window.partitionBy("home").orderBy("own", "vec"))
@@ -58,22 +64,27 @@ def exact_knn(df: DataFrame, k: int, key: str = "row_id", features: str = "featu
         "home", "own").collect()
     groups = {r.home: (r.n, r.radius) for r in sizes}
     between = np.sqrt(squared_distances(centres, centres))
-    reach = {}
+    reach = np.full(len(centres), -np.inf)  # a pivot without rows reaches nothing
+    offset = np.array([c.own for c in closest])
+    home = np.array([c.home for c in closest], dtype=np.int64)
     for g, (_, radius) in groups.items():
         # k + 1 distinct vectors certainly lie within this distance of any member, its own included
-        upper = np.sort([radius + between[g, c.home] + c.own for c in closest])
-        reach[g] = float(upper[min(k, len(upper) - 1)]) + radius if len(upper) > k else np.inf
+        upper = radius + between[g, home] + offset
+        reach[g] = np.partition(upper, k)[k] + radius if len(upper) > k else np.inf
+    reach = reach * (1 + _SLACK) + _SLACK
 
-    def targets() -> F.Column:
-        cells = [
-            F.when(F.get("to", F.lit(g)) <= reach[g] * (1 + _SLACK) + _SLACK, F.lit(g)) if np.isfinite(reach[g])
-            else F.lit(g) for g in sorted(groups)
-        ]
-        return F.array_compact(F.array(*cells))
+    @arrow_udf("array<int>")
+    def targets(batch: pa.Array) -> pa.Array:
+        """Groups with a member that may have this row among its k nearest."""
+        if len(batch) == 0:
+            return pa.array([], pa.list_(pa.int32()))
+        open_to = np.sqrt(squared_distances(matrix_of(batch), centres)) <= reach
+        offsets = np.concatenate([[0], np.cumsum(open_to.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(open_to)[1].astype(np.int32)))
 
     spread = F.pmod(F.xxhash64("vec"), F.lit(1 << 30))
     queries = placed.select(F.col("home").alias("g"), "vec", "x", spread.alias("h"))
-    base = placed.select(F.explode(targets()).alias("g"), "vec", "x", "ids", spread.alias("h"))
+    base = placed.select(F.explode(targets("x")).alias("g"), "vec", "x", "ids", spread.alias("h"))
     base_sizes = {r.g: r.n for r in base.groupBy("g").agg(F.count("*").alias("n")).collect()}  # one per pivot
     q_parts = F.array(*[F.lit(-(-groups.get(g, (0,))[0] // block) or 1) for g in range(len(centres))])
     b_parts = F.array(*[F.lit(-(-base_sizes.get(g, 0) // block) or 1) for g in range(len(centres))])

@@ -10,7 +10,7 @@ from flowlens.schema import CATEGORIES
 def _halo(df: DataFrame, index: str, n: int, block: int) -> tuple[DataFrame, Column]:
     """Rows with their block, those within n-1 of its end also in the next one; and the home block of a row."""
     i = F.col(index)
-    home = F.floor(i / block).cast("long")
+    home = F.expr(f"`{index}` div {block}")
     late = F.pmod(i, F.lit(block)) > block - n
     copies = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
     return df.withColumn("_block", F.explode(copies)), home

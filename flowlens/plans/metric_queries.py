@@ -87,9 +87,6 @@ def per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                    ["precision", "recall", "f1"])
 
 
-_AVERAGES = ["accuracy", "f1_macro", "f1_micro", "precision_macro", "precision_micro", "recall_macro", "recall_micro"]
-
-
 @query("averaged_metrics", oracle(f"""
 SELECT split, {round_sql('sum(tp)::DOUBLE / sum(support)', 'accuracy')}, {round_sql('avg(f1)', 'f1_macro')},
   {round_sql('2.0::DOUBLE * sum(tp) / (sum(support) + sum(predicted))', 'f1_micro')},
@@ -97,7 +94,7 @@ SELECT split, {round_sql('sum(tp)::DOUBLE / sum(support)', 'accuracy')}, {round_
   {round_sql('avg(recall)', 'recall_macro')}, {round_sql('sum(tp)::DOUBLE / sum(support)', 'recall_micro')}
 FROM ({_CLASSES}) m GROUP BY split""", "flows"))
 def averaged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cls.averaged_metrics(flows(spark, sf_dir), "gold_category", "pred_category", ["split"]), _AVERAGES)
+    return rounded(cls.averaged_metrics(flows(spark, sf_dir), "gold_category", "pred_category", ["split"]), cls.AVERAGES)
 
 
 def _indicator_sql(truth: str, pred: str, source: str) -> str:
@@ -122,7 +119,7 @@ def indicator_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "split", vectors.one_hot_of(F.col("gold_category"), 10).alias("truth"),
         vectors.one_hot_of(F.col("pred_category"), 10).alias("pred"),
     )
-    return rounded(cls.indicator_metrics(base, "truth", "pred", 10, ["split"]), _AVERAGES)
+    return rounded(cls.indicator_metrics(base, "truth", "pred", 10, ["split"]), cls.AVERAGES)
 
 
 _SCORES_LIST = "[" + ", ".join(f"features[{i}]" for i in range(1, 11)) + "]"
@@ -137,7 +134,7 @@ def own_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "split", vectors.one_hot_of(F.col("category"), 10).alias("truth"),
         vectors.one_hot_of(vectors.argmax(F.slice("features", 1, 10)), 10).alias("pred"),
     )
-    return rounded(cls.indicator_metrics(base, "truth", "pred", 10, ["split"]), _AVERAGES)
+    return rounded(cls.indicator_metrics(base, "truth", "pred", 10, ["split"]), cls.AVERAGES)
 
 
 # ---- clustering -------------------------------------------------------------------------------
@@ -189,7 +186,8 @@ FROM ({_SUMS}) m JOIN (
       USING (split) JOIN (SELECT split, count(*) AS n FROM flows GROUP BY split) tn USING (split)) q
   GROUP BY split) x USING (split)""", "flows"))
 def adjusted_mutual_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(clu.adjusted_mutual_info(_cells(spark, sf_dir), ["split"]), ["adjusted_mutual_info"])
+    sums = clu.agreement_sums(_cells(spark, sf_dir), ["split"])
+    return sums.select("split", r6(clu.adjusted_mutual_info(sums)).alias("adjusted_mutual_info"))
 
 
 @query("homogeneity_completeness_v", oracle(f"""

@@ -62,11 +62,11 @@ def test_plain_frames(spark, csv_dir):
 
 
 @pytest.mark.parametrize("argv", [
-    ["pca"], ["lda", "--categories"], ["cats_ae", "--reconstruct_loss", "mse"], ["mds", "--landmarks", "50"],
+    ["pca"], ["lda", "--categories"], ["cats_ae", "--reconstruct_loss", "mse"], ["mds", "--landmarks", "50", "--n_init", "4"],
 ])
 def test_reduce_job(spark, csv_dir, capsys, tmp_path, argv):
     out = str(tmp_path / "scores")
-    job.main(["--number", "1", "--train", '{"epochs": 2}', "--output", out, csv_dir, *argv],
+    job.main(["--number", "1", "--train", '{"epochs": 2}', "--output", out, *argv, csv_dir],
              {"Decision Tree": learners.decision_tree})
     printed = capsys.readouterr().out
     assert "mean over the runs, binary labels" in printed and "accuracy" in printed
@@ -77,11 +77,11 @@ def test_reduce_job(spark, csv_dir, capsys, tmp_path, argv):
 
 def test_weights_job_and_flow_map(spark, csv_dir, dataset, capsys, tmp_path):
     model_path = str(tmp_path / "cats_%s")
-    args = job.parser().parse_args(["--number", "2", "--train", '{"epochs": 2}', csv_dir, "cats_ae", "--model_path",
-                                    model_path % "0.1"])
+    args = job.parser().parse_args(["--number", "2", "--train", '{"epochs": 2}', "cats_ae", "--model_path",
+                                    model_path % "0.1", csv_dir])
     job.run_experiment(args, dataset.data, {"Decision Tree": learners.decision_tree})
-    job.main(["--number", "2", "--output", str(tmp_path / "w"), csv_dir, "weights", "--cats_ae_path", model_path,
-              "--cats_ae_weight", "0.1"])
+    job.main(["--number", "2", "--output", str(tmp_path / "w"), "weights", "--cats_ae_path", model_path,
+              "--cats_ae_weight", "0.1", csv_dir])
     assert "weights 2" in capsys.readouterr().out
     table = spark.read.option("header", True).csv(str(tmp_path / "w" / "dim=0"))
     assert table.columns == ["feature", "cats_ae_0.1_0", "cats_ae_0.1_1"] and table.count() == len(dataset.columns)
