@@ -1,8 +1,8 @@
 """spark-submit jobs of the flow map: prepare the scored flows, then replay and explain them.
 
-    spark-submit -m flowlens.jobs.flowmap prepare CAPTURE TRAIN TEST MODEL_PATH OUTPUT
-    spark-submit -m flowlens.jobs.flowmap replay  OUTPUT [--keep 200] [--radius 0.01] [--every "10 milliseconds"]
-    spark-submit -m flowlens.jobs.flowmap explain OUTPUT INDEX [--radius 0.01]
+    spark-submit --py-files flowlens.zip flowlens/jobs/flowmap.py prepare CAPTURE TRAIN TEST MODEL_PATH OUTPUT
+    ... replay  OUTPUT [--keep 200] [--radius 0.01] [--every "10 milliseconds"]
+    ... explain OUTPUT INDEX [--radius 0.01]
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
 """spark-submit job: reduce, compare and report.
 
-    spark-submit -m flowlens.jobs.reduce [--size 2] [--number 5] [--train JSON] METHOD [options] DATAPATH
+    spark-submit --py-files flowlens.zip flowlens/jobs/reduce.py [--size 2] [--number 5] [--train JSON] METHOD [options] DATAPATH
 
 DATAPATH holds three CSV tables with headers: ``*_all.csv``, ``*training-set.csv`` and ``*testing-set.csv``
 (or name them with --capture, --train-table, --test-table).
@@ -84,7 +84,7 @@ def parser() -> argparse.ArgumentParser:
 def _without_effect(parser: argparse.ArgumentParser, *options: str) -> None:
     """Solver options that have no counterpart here; accepted, so that existing command lines run."""
     for option in options:
-        parser.add_argument(option, help="accepted without effect")
+        parser.add_argument(option, dest="ignored" + option, help="accepted without effect")
 
 
 def make_reducer(args: argparse.Namespace) -> Reducer:

@@ -63,8 +63,16 @@ class FlowDataset:
 
     @classmethod
     def load(cls, spark: SparkSession, capture: str, train: str, test: str, **options) -> FlowDataset:
-        """From three CSV paths, each with a header."""
-        return cls.prepare(*[scan_labelled(spark, p) for p in (capture, train, test)], **options)
+        """From three CSV paths, each with a header. The capture is read several times, so it is staged as Parquet."""
+        return cls.prepare(staged(scan_labelled(spark, capture)), scan_labelled(spark, train),
+                           scan_labelled(spark, test), **options)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table written once as Parquet below the shared folder."""
+    path = work_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def category_gaps(df: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def test_plain_frames(spark, csv_dir):
 
 
 @pytest.mark.parametrize("argv", [
-    ["pca"], ["lda", "--categories"], ["cats_ae", "--reconstruct_loss", "mse"], ["mds", "--landmarks", "50", "--n_init", "4"],
+    ["cats_ae", "--reconstruct_loss", "mse"],
 ])
 def test_reduce_job(spark, csv_dir, capsys, tmp_path, argv):
     out = str(tmp_path / "scores")
@@ -75,6 +75,19 @@ def test_reduce_job(spark, csv_dir, capsys, tmp_path, argv):
     assert ("own" in {r.classifier for r in scores.collect()}) == (argv[0] == "cats_ae")
 
 
+def test_command_lines_parse():
+    parse = job.parser().parse_args
+    mds = parse(["mds", "--n_init", "4", "--landmarks", "9", "data"])
+    assert (mds.datapath, job.make_reducer(mds).landmarks) == ("data", 9)
+    tsne = job.make_reducer(parse(["--size", "3", "tsne", "--perplexity", "5", "--angle", "0.5", "data"]))
+    assert (tsne.size, tsne.perplexity, tsne.early_exaggeration, tsne.learning_rate) == (3, 5.0, 30.0, 200.0)
+    net = job.make_reducer(parse(["--train", '{"epochs": 3, "batch_size": 10}', "bin_ae", "--reconstruct_weight",
+                                  "0.5", "data"]))
+    assert (net.steps, net.batch_size, net.spec.head, net.spec.reconstruct_weight) == (3, 10, "binary", 0.5)
+    assert job.make_reducer(parse(["pca", "data"])).name == "pca"
+    assert job.make_reducer(parse(["lda", "--categories", "data"])).label == "category"
+
+
 def test_weights_job_and_flow_map(spark, csv_dir, dataset, capsys, tmp_path):
     model_path = str(tmp_path / "cats_%s")
     args = job.parser().parse_args(["--number", "2", "--train", '{"epochs": 2}', "cats_ae", "--model_path",
