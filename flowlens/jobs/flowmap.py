@@ -16,7 +16,7 @@ from flowlens.functions import codes
 from flowlens.operators.neighbours import EpsNeighbourClassifier
 from flowlens.reduce.base import load_models
 from flowlens.schema import CATEGORY_LABELS
-from flowlens.session import checkpointed, get_session, work_path
+from flowlens.session import written, get_session, work_path
 from flowlens.sources.dataset import FlowDataset
 from flowlens.sources.stores import SCORED_COLUMNS, scored_flows
 from flowlens.streaming import replay, sinks, windows
@@ -35,7 +35,7 @@ def prepare(dataset: FlowDataset, reducer, output: str, files: int = 64) -> None
     out = F.col(reducer.output)
     points = embedded.select(F.get(out, F.lit(0)).alias("x"), F.get(out, F.lit(1)).alias("y"), "category")
     # models run once: the joint scale and the final tables both read the written result
-    flows, points = scored_flows(checkpointed(scored), checkpointed(points))
+    flows, points = scored_flows(written(scored), written(points))
     replay.write_replay(flows, f"{output}/flows", "index", files)
     points.write.mode("overwrite").parquet(f"{output}/train_points")
 

@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from flowlens.functions.vectors import list_column, matrix_of
 from flowlens.operators.landmarks import affinities, choose_landmarks, fast_squared_distances, fetch
 from flowlens.operators.landmarks import squared_distances
-from flowlens.session import checkpointed
+from flowlens.session import written
 
 _BLOCK = 2048
 _MAX_PIVOTS = 1024
@@ -52,7 +52,7 @@ def exact_knn(df: DataFrame, k: int, key: str = "row_id", features: str = "featu
         return list_column(np.column_stack([square.argmin(axis=1), np.sqrt(square.min(axis=1))]))
 
     # the assignment feeds several passes below
-    placed = checkpointed(
+    placed = written(
         distinct.withColumn("at", closest_centre("x"))
         .withColumns({"home": F.get("at", F.lit(0)).cast("int"), "own": F.get("at", F.lit(1))}).drop("at")
     )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.session import checkpointed
+from flowlens.session import written
 
 # relative slack around the radius inside which a tile is checked point by point
 _SLACK = 1e-9
@@ -50,10 +50,10 @@ class NeighbourIndex:
             .groupBy("tx", "ty", "label").agg(F.count("*").alias("n"))
         )
         if eps == 0:
-            return cls(0.0, checkpointed(points), None)
+            return cls(0.0, written(points), None)
         cell = eps * (1 + _SLACK)  # a point at distance exactly eps is never two cells away
         fine = cell / refine
-        points = checkpointed(points.withColumns({
+        points = written(points.withColumns({
             "cx": _tile(F.col("tx"), cell), "cy": _tile(F.col("ty"), cell),
             "sx": _tile(F.col("tx"), fine), "sy": _tile(F.col("ty"), fine),
         }))
@@ -70,7 +70,7 @@ class NeighbourIndex:
                 F.ceil(F.sum("points") / F.lit(_POINTS_PER_KEY)).cast("int").alias("parts"),
             )
         )
-        return cls(float(eps), points, checkpointed(tiles))
+        return cls(float(eps), points, written(tiles))
 
 
     def spot_counts(self, queries: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.session import checkpointed
+from flowlens.session import written
 
 
 def hash_bucket(key: str, seed: int = 1337, buckets: int = 100) -> Column:
@@ -33,12 +33,14 @@ def union_splits(splits: dict[str, DataFrame]) -> DataFrame:
 def assign_index(df: DataFrame, order: list[str], column: str = "index", partitions: int | None = None) -> DataFrame:
     """Contiguous 0..n-1 in ``order`` without a one-partition sort.
 
-    Rows are range-partitioned and sorted, and written once to the checkpoint folder, so the two
-    passes (rows per partition, then offsets) see the same partitions. ``order`` must be unique.
+    Rows are range-partitioned, sorted and written once with their partition and position, so the two passes
+    (rows per partition, then offsets) agree. ``order`` must be unique.
     """
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpointed(df.repartitionByRange(partitions, *order).sortWithinPartitions(*order))
-    numbered = ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    numbered = written(
+        ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "index"
+    )
     in_part = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
 
     # one row per partition: a running sum over these is small by construction

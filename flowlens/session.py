@@ -48,12 +48,14 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/flowlens/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and fixes the partitioning and row order."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, label: str = "step") -> DataFrame:
+    """The table written once as Parquet below the shared folder and read back.
+
+    Cuts the lineage, survives executor loss, and later reads fetch only the columns they use.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

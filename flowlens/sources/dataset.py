@@ -12,7 +12,7 @@ from flowlens.operators.encode import FlowEncoder, FlowEncoderModel
 from flowlens.operators.scale import VectorScaler
 from flowlens.operators.split import random_split
 from flowlens.schema import CATEGORICAL_COLUMNS, NUMERIC_COLUMNS
-from flowlens.session import work_path
+from flowlens.session import work_path, written
 from flowlens.sources.capture import scan_labelled
 
 FEATURE_CATEGORICALS = [c for c in CATEGORICAL_COLUMNS if c not in ("attack_cat", "label")]
@@ -64,17 +64,10 @@ class FlowDataset:
     @classmethod
     def load(cls, spark: SparkSession, capture: str, train: str, test: str, **options) -> FlowDataset:
         """From three CSV paths, each with a header. The capture is read several times, so it is staged as Parquet."""
-        return cls.prepare(staged(scan_labelled(spark, capture)), scan_labelled(spark, train),
+        return cls.prepare(written(scan_labelled(spark, capture), "capture"), scan_labelled(spark, train),
                            scan_labelled(spark, test), **options)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The table written once as Parquet below the shared folder."""
-    path = work_path(df.sparkSession, "staged")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def category_gaps(df: DataFrame) -> DataFrame:
     """Rows with neither a known attack name nor ``label = 0``; they get category code 0."""
     from flowlens.operators.encode import category_block
