@@ -48,17 +48,33 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/flowlens/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
+def written(df: DataFrame, label: str = "step", **options: str) -> DataFrame:
     """The table written once as Parquet below the shared folder and read back.
 
-    Cuts the lineage, survives executor loss, and later reads fetch only the columns they use.
+    Cuts the lineage, survives executor loss, and later reads fetch only the columns they use. The folder goes with
+    ``drop_written``, or else when the session's JVM ends.
     """
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.options(**options).parquet(path)
+    fs, hpath = _located(df.sparkSession, path)
+    fs.deleteOnExit(hpath)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the folders of tables returned by ``written``, once nothing reads them any more."""
+    for table in tables:
+        fs, hpath = _located(table.sparkSession, table.written_to)
+        fs.delete(hpath, True)
+
+
+def _located(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+    fs, hpath = _located(spark, path)
+    return fs.exists(hpath)
