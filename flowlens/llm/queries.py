@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import minhash
+from flowlens.llm import decontaminate, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,33 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c US
 @query("op1_minhash_near_dedup", OP1_SQL)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+FOLDED_SQL = WORDS_SQL.replace("[\\x20\\x09-\\x0D]+", "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+").format(LOWER_SQL)
+
+OP2_SQL = f"""
+WITH words AS (SELECT doc_id, {FOLDED_SQL} AS w FROM documents),
+items AS (SELECT item_id, {FOLDED_SQL} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, s, least(len(w), 13) AS size FROM (
+  SELECT item_id, w, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1),
+    lambda i: array_to_string(w[i:i + 12], ' '))) AS s FROM items WHERE len(w) > 0)),
+runs AS (SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS s FROM (
+  SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS p
+  FROM words, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT DISTINCT doc_id, r.size, p, item_id FROM runs r JOIN windows v ON r.size = v.size AND r.s = v.s),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n FROM (
+  SELECT doc_id, unnest(range(p, p + size)) AS q FROM found) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(g.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hits h USING (doc_id) LEFT JOIN held g USING (doc_id)
+"""
+
+
+@query("op2_aho_corasick_decontamination", OP2_SQL)
+def op2_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the spans, which the operator also returns."""
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, share=20
+    ).drop("spans")
