@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontaminate, minhash
+from flowlens.llm import decontaminate, minhash, token_counts, token_file
+from flowlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +84,19 @@ def op2_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, share=20
     ).drop("spans")
+
+
+@query("op4_digest_cache_token_counts")
+def op4_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache that is new in each run, so every distinct text is encoded."""
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), work_path(spark, "token-cache"), over=512
+    )
+
+
+@query("op6_token_file")
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_file.write_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), work_path(spark, "token-file"), end_id=1
+    )
+    return files.documents()
