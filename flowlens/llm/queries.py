@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontaminate, minhash, token_counts, token_file
+from flowlens.llm import decontaminate, minhash, mixing, token_counts, token_file
 from flowlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,11 @@ def op4_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query("op5_entropy_balanced_mix")
+def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, cap=2).drop("rate", "copies")
+
+
 @query("op6_token_file")
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_file.write_tokens(
