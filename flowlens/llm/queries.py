@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontaminate, minhash, mixing, quality, token_counts, token_file
+from flowlens.llm import decontaminate, minhash, mixing, quality, token_counts, token_file, toxicity
 from flowlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bradley_terry_quality")
 def op7_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_noisy_or_toxicity")
+def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
