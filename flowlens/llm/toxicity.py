@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from flowlens.llm.quality import held_out
 from flowlens.llm.words import hashed, split_words
@@ -22,13 +22,13 @@ from flowlens.session import drop_written, written
 
 #: Hashed features; labelled documents in the fit (of each label); tasks of a pass; passes over the sample.
 WIDTH, SAMPLE, TASKS, PASSES = 2**17, 20_000, 8, 40
-_RATE, _RIDGE, _PRIOR, _BIAS = 0.1, 1e-4, 10.0, -8.0
+_RATE, _RIDGE, _PRIOR, _BIAS = 0.1, 1e-6, 10.0, -8.0
 _BREAK = "\x01"
 
 
 @dataclass
 class Sentences:
-    """Word t of the batch is ``codes[t]``; sentence s has words starts[s]:starts[s + 1]; row r sentences rows[r]:rows[r + 1].
+    """Sentence s has the distinct words codes[starts[s]:starts[s + 1]], row r the sentences rows[r]:rows[r + 1].
     ``grams[c]`` holds the features of the word c."""
 
     codes: np.ndarray
@@ -62,13 +62,15 @@ def sentences(texts: pa.Array) -> Sentences:
     number = np.cumsum(ends) + row  # grows by one at each mark and each row
     count = np.bincount(row[ends], minlength=len(texts)) + 1
     rows = np.concatenate([[0], np.cumsum(count)])
-    starts = np.searchsorted(number[kept], np.arange(rows[-1] + 1))
+    many = len(words.words) + 1
+    once = np.unique(number[kept].astype(np.int64) * many + words.codes[kept])  # a word counts once in a sentence
+    starts = np.searchsorted(once // many, np.arange(rows[-1] + 1))
     vocabulary = words.words
     grams = np.stack([
         (hashed(pc.utf8_slice_codeunits(vocabulary, 0, stop) if stop else vocabulary) + np.uint64(i)) % np.uint64(WIDTH)
         for i, stop in enumerate((0, 4, 5))
     ], axis=1).astype(np.int32) if len(vocabulary) else np.zeros((0, 3), np.int32)
-    return Sentences(words.codes[kept], starts, rows, grams)
+    return Sentences(once % many, starts, rows, grams)
 
 
 @dataclass
@@ -129,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
     Of each label the ``SAMPLE`` labelled documents that come first by a hash of doc_id are used, a bounded list of ids that
     is broadcast, so texts are not shuffled before. Weights begin at shrunken log ratios of document counts and
-    follow the gradient of the noisy-or likelihood (Adam, ``PASSES`` passes). Without labels of both kinds every text
+    follow the gradient of the noisy-or likelihood (Adam, ``PASSES`` passes). They stay at 0 or above: words are evidence
+    for toxicity or none, so harmless words around an offending one don't outweigh it. Without labels of both kinds every text
     scores nearly 0.
     """
     order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -139,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         .withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).select("doc_id", "y")
     )
     ids = written(ids, "labelled")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
-    sample = written(_batches(texts.repartition(TASKS, F.xxhash64("text"))), "sentences")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    sample = written(_batches(texts.repartition(TASKS, "doc_id")), "sentences")
     sample = sample.coalesce(TASKS)
     counts = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
     weights, bias = np.zeros(WIDTH), _BIAS
@@ -170,11 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
                 return np.bincount(s.grams.ravel(), np.repeat(per_word, 3), WIDTH), float(own.sum())
 
             slope, slope0 = _summed(sample, fold)
-            gradient = np.append(slope / (n0 + n1) + _RIDGE * weights * 1e-2, slope0 / (n0 + n1))
+            gradient = np.append(slope / (n0 + n1) + _RIDGE * weights, slope0 / (n0 + n1))
             first = 0.9 * first + 0.1 * gradient
             second = 0.99 * second + 0.01 * gradient**2
-            move = _RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
-            weights, bias = weights - move[:-1], bias - move[-1]
+            move = _RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-4)
+            weights, bias = np.maximum(weights - move[:-1], 0.0), bias - move[-1]
     drop_written(ids)
     return ToxicModel(weights, bias)
 
