@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontaminate, minhash, mixing, quality, token_counts, token_file, toxicity
+from flowlens.llm import decontaminate, minhash, mixing, quality, token_counts, token_file, toxicity, url_filter
 from flowlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,16 @@ def op2_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     ).drop("spans")
 
 
+URL_RULES = tuple(url_filter.Rule(verdict, text) for verdict, text in (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")
+))
+
+
+@query("op3_boosted_url_filter")
+def op3_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.classify(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op4_digest_cache_token_counts")
 def op4_digest_cache_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache that is new in each run, so every distinct text is encoded."""
