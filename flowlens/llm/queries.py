@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontaminate, minhash, mixing, quality, token_counts, token_file, toxicity, url_filter
+from flowlens.llm import decontaminate, minhash, mixing, quality, rules, token_counts, token_file, toxicity, url_filter
 from flowlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,41 @@ def op7_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_noisy_or_toxicity")
 def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_STATS_SQL = " UNION ALL ".join(
+    f"SELECT lang, q, '{name}' AS statistic, {a} AS a, {b} AS b FROM labelled" for name, (a, b) in rules.STATISTICS.items()
+)
+_RISK = rules.Risk()
+_LOG_TERM = "lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})".format(
+    p=_RISK.rejected / len(rules.STATISTICS)
+)
+
+OP8_SQL = f"""
+WITH words AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+runs AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (
+  SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM words WHERE len(w) >= 8))),
+repeats AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM runs WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS kinds FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM words)
+  WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+stats AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n - kinds, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations,
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_neighbours, coalesce(l.n, 0) AS n_lines
+  FROM words LEFT JOIN repeats r USING (doc_id) LEFT JOIN lines l USING (doc_id)),
+labelled AS (SELECT s.*, 1 AS q FROM stats s WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+cells AS (SELECT lang, statistic, cutoff, count(*) AS n, count(*) FILTER (WHERE 100 * a > cutoff * b) AS k
+  FROM ({_STATS_SQL}), (SELECT unnest({list(rules.CUTOFFS)}) AS cutoff) GROUP BY ALL),
+cuts AS (SELECT lang, statistic, min(cutoff) AS cutoff FROM cells, (SELECT count(DISTINCT coalesce(lang, chr(0))) AS strata FROM labelled)
+  WHERE k < n * {_RISK.rejected / len(rules.STATISTICS)} AND list_sum(list_transform(range(0, k + 1), lambda j: exp({_LOG_TERM})))
+    <= {_RISK.error / len(rules.STATISTICS) / len(rules.CUTOFFS)} / strata GROUP BY ALL),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM stats)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (
+  {" OR ".join(f"coalesce(100 * {a} > {b} * (SELECT any_value(cutoff) FROM cuts c WHERE statistic = '{name}' AND c.lang IS NOT DISTINCT FROM judged.lang), false)" for name, (a, b) in rules.STATISTICS.items())}
+) AS kept FROM judged
+"""
+
+
+@query("op8_risk_controlled_rules", OP8_SQL)
+def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
