@@ -26,8 +26,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, over: int = 512) -
     and the new counts are appended before the result is read. A failed run appends nothing; two runs that append the
     same digest at once do no harm, as equal digests have equal counts and count once.
 
-    Only digests are shuffled to tell which texts are new and which document stands for a digest; the texts of those
-    documents are encoded where they are read. The file ``tokenizer`` must be at the same path on every machine.
+    Copies are combined before the shuffle by digest, which moves one text for each digest and task. The file
+    ``tokenizer`` must be at the same path on every machine.
 
     Defined cases: a null text is empty (0 bytes, 0 tokens); rows with the same doc_id or a null one are each counted;
     an empty table gives no rows and appends nothing; columns beyond doc_id and text are not read.
@@ -48,9 +48,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, over: int = 512) -
                     names=["text_digest", "tokenizer", "n_tokens"],
                 )
 
-    new = base.join(stored().select("text_digest"), "text_digest", "left_anti")
-    one = new.groupBy("text_digest").agg(F.first("text").alias("text"))
-    one.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    one = base.groupBy("text_digest").agg(F.first("text").alias("text"))  # combined before the shuffle
+    new = one.join(stored().select("text_digest"), "text_digest", "left_anti")
+    new.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
     return base.select("doc_id", "text_digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).join(
         stored(), "text_digest"
     ).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
