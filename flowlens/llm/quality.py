@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from flowlens.llm.labels import first_by_hash, held_out
 from flowlens.llm.words import row_sums, split_words
 from flowlens.session import drop_written, written
 
@@ -66,11 +67,6 @@ def features(text: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * WIDTH), pa.array(matrix.ravel()))
 
 
-def held_out() -> Column:
-    """Documents that labels are never learned from."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-
-
 @dataclass
 class RankModel:
     """score = logistic(slope * (weights . features - cut) + logit(CUT)), so it is at least ``CUT`` from the cut on."""
@@ -96,9 +92,8 @@ def fit(measured_docs: DataFrame, labels: DataFrame) -> RankModel:
     labels, so as many are rejected as are known to be bad. With one label only, or none, nothing is rejected.
     """
     known = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
-    rows = measured_docs.where(~held_out()).join(known, "doc_id").select("doc_id", "y", "x")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = written(rows.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < SAMPLE), "ranked")
+    rows = measured_docs.where(~held_out(5)).join(known, "doc_id").select("doc_id", "y", "x")
+    picked = written(first_by_hash(rows, SAMPLE), "ranked")
     count = {r.y: r.n for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         drop_written(picked)
@@ -118,7 +113,7 @@ def fit(measured_docs: DataFrame, labels: DataFrame) -> RankModel:
     fitted = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60, tol=1e-6).fit(pairs)
     weights = [float(w) for w in fitted.coefficients]
     raw = RankModel(weights, 0.0, 1.0).raw(F.col("x"))
-    total = known.join(measured_docs.where(~held_out()).select("doc_id"), "doc_id", "left_semi").agg(F.avg(1 - F.col("y"))).first()[0]
+    total = known.join(measured_docs.where(~held_out(5)).select("doc_id"), "doc_id", "left_semi").agg(F.avg(1 - F.col("y"))).first()[0]
     # of scores in which both labels have the weight they have among all labelled documents
     scored = written(picked.select("y", raw.alias("s")), "scores")
     share = {0: total / count[0], 1: (1 - total) / count[1]}
@@ -148,7 +143,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = written(docs.select("doc_id", features(F.col("text").cast("string")).alias("x")), "features")
     model = fit(x, labels)
     score = model.score(F.col("x"))
-    return x.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
+    return x.select("doc_id", held_out(5).alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:

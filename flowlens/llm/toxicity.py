@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from flowlens.llm.quality import held_out
+from flowlens.llm.labels import first_by_hash, held_out
 from flowlens.llm.words import hashed, split_words
 from flowlens.session import drop_written, written
 
@@ -135,12 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     for toxicity or none, so harmless words around an offending one don't outweigh it. Without labels of both kinds every text
     scores nearly 0.
     """
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out())
-        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).select("doc_id", "y")
-    )
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(5))
+    ids = first_by_hash(known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")), SAMPLE).select("doc_id", "y")
     ids = written(ids, "labelled")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     sample = written(_batches(texts.repartition(TASKS, "doc_id")), "sentences")
@@ -201,7 +197,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         parts = [model.value.scores(text.slice(at, 1000)) for at in range(0, len(text), 1000)]
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    scored = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text").cast("string")).alias("score"))
+    scored = docs.select("doc_id", held_out(5).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
