@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators.scores import score_report
-from flowlens.reduce import learners, linear, maps, nets
+from flowlens.reduce import learners, linear, nets
 from flowlens.reduce.base import Reducer
 from flowlens.reduce.experiment import Experiment
 from flowlens.session import get_session
@@ -57,21 +57,8 @@ def parser() -> argparse.ArgumentParser:
     for name in NET_METHODS:
         methods.add_parser(name, parents=[net], formatter_class=form)
 
-    tsne = methods.add_parser("tsne", formatter_class=form)
-    tsne.add_argument("--perplexity", type=float, default=30.0)
-    tsne.add_argument("--early_exaggeration", type=float, default=30.0)
-    tsne.add_argument("--learning_rate", type=float, default=200.0, help="0: follow the number of landmarks")
-    tsne.add_argument("--n_iter", type=int, default=1000)
-    tsne.add_argument("--n_iter_without_progress", type=int, default=300)
-    tsne.add_argument("--min_grad_norm", type=float, default=1e-7)
-    tsne.add_argument("--landmarks", type=int, default=2000)
-    tsne.add_argument("--random_state", type=int, default=0)
-    tsne.add_argument("--model_path")
-    _without_effect(tsne, "--metric", "--init", "--verbose", "--method", "--angle")
     mds = methods.add_parser("mds", formatter_class=form)
-    mds.add_argument("--landmarks", type=int, default=500)
-    mds.add_argument("--random_state", type=int, default=0)
-    _without_effect(mds, "--metric", "--n_init", "--max_iter", "--verbose", "--eps", "--n_jobs", "--dissimilarity")
+    _without_effect(mds, "--random_state", "--metric", "--n_init", "--max_iter", "--verbose", "--eps", "--n_jobs", "--dissimilarity")
 
     weights = methods.add_parser("weights", formatter_class=form)
     weights.add_argument("--bin_ae_path", help="model path with %%s for the weight")
@@ -82,9 +69,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _without_effect(parser: argparse.ArgumentParser, *options: str) -> None:
-    """Solver options that have no counterpart here; accepted, so that existing command lines run."""
+    """Solver options that have no counterpart here are refused: the answer would not be what they ask for."""
+
+    class Refused(argparse.Action):
+        def __call__(self, parser, namespace, values, option_string=None):
+            parser.error(f"{option_string} has no effect on classical scaling; leave it out")
+
     for option in options:
-        parser.add_argument(option, dest="ignored" + option, help="accepted without effect")
+        parser.add_argument(option, action=Refused, dest="refused" + option, help="not supported")
 
 
 def make_reducer(args: argparse.Namespace) -> Reducer:
@@ -92,14 +84,10 @@ def make_reducer(args: argparse.Namespace) -> Reducer:
         return linear.PcaReducer(args.size)
     if args.method == "lda":
         return linear.LdaReducer(args.size, categories=args.categories)
-    if args.method == "tsne":
-        return maps.LandmarkTsne(
-            args.size, args.perplexity, args.early_exaggeration, args.learning_rate, args.n_iter,
-            args.n_iter_without_progress, args.min_grad_norm, args.landmarks, args.random_state)
     if args.method == "mds":
-        return maps.LandmarkMds(args.size, args.landmarks, args.random_state)
+        return linear.MdsReducer(args.size)
     # mini-batches of 1000 rows within every task, 1500 passes, unless --train says otherwise
-    training = {"steps": 1500, "batch_size": 1000, "stop_after": 50, **_training(args.train)}
+    training = {"steps": 1500, "batch_size": 1000, **_training(args.train)}
     return NET_METHODS[args.method](
         args.size, reconstruct=args.reconstruct_loss, reconstruct_weight=args.reconstruct_weight,
         enc_regularizer=args.encoder_regularizer, enc_regularizer_weight=args.enc_regularizer_weight,
@@ -113,7 +101,7 @@ def _training(options: dict) -> dict:
 
 def run_experiment(args: argparse.Namespace, data: DataFrame, classifiers=None) -> DataFrame:
     """Fit (or load), score both spaces and, for nets with a label head, the head itself; long score table."""
-    runs = 1 if args.method in ("pca", "lda") else args.number
+    runs = 1 if args.method in ("pca", "lda", "mds") else args.number
     trial = Experiment(make_reducer(args), runs, classifiers).fit_or_load(data, getattr(args, "model_path", None))
     scores = trial.scores(data)
     if args.method in ("sup_cats_ae", "bin_ae", "cats_ae"):
@@ -125,7 +113,15 @@ def show_report(scores: DataFrame) -> None:
     for title, folded in (("mean", Experiment.mean(scores)), ("standard deviation", Experiment.std(scores))):
         for task, table in score_report(folded).items():
             print(f"{title} over the runs, {task} labels")
-            table.show(1000, truncate=False)
+            preview(table)
+
+
+def preview(table: DataFrame, most: int = 1000) -> None:
+    """Print the first rows and say how many there are; the whole table is in --output."""
+    rows = table.count()
+    table.show(most, truncate=False)
+    if rows > most:
+        print(f"{most} of {rows} rows shown")
 
 
 def run_weights(args: argparse.Namespace, spark, columns: list[str]) -> DataFrame | None:
@@ -134,7 +130,7 @@ def run_weights(args: argparse.Namespace, spark, columns: list[str]) -> DataFram
     for name, pattern, params in (("bin_ae", args.bin_ae_path, args.bin_ae_weight),
                                   ("cats_ae", args.cats_ae_path, args.cats_ae_weight)):
         for param in params if pattern else []:
-            trial = Experiment(NET_METHODS[name](args.size), args.number).load(spark, pattern % param)
+            trial = Experiment(NET_METHODS[name](args.size), args.number).load(spark, pattern % param, settings=False)
             frames.append(trial.weights(spark, columns).withColumns({"model": F.lit(name), "param": F.lit(param)}))
     if not frames:
         return None
@@ -155,7 +151,7 @@ def main(argv: Sequence[str] | None = None, classifiers=None) -> None:
             raise SystemExit("give --bin_ae_path or --cats_ae_path")
         for dim, table in weights_report(weights).items():
             print(f"weights {dim + 1}")
-            table.orderBy("feature").show(10_000, truncate=False)
+            preview(table.orderBy("feature"), 10_000)
         if args.output:
             write_weights_report(weights, args.output)
         return

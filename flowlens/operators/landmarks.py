@@ -41,7 +41,9 @@ def choose_landmarks(df: DataFrame, key: str, count: int, order: Column | None =
 
 def fetch(landmarks: DataFrame, key: str, features: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and feature matrix of a landmark sample."""
-    table = landmarks.select(F.col(key), F.col(features).cast("array<double>")).limit(MAX_LANDMARKS).toArrow()
+    table = landmarks.select(F.col(key), F.col(features).cast("array<double>")).limit(MAX_LANDMARKS + 1).toArrow()
+    if table.num_rows > MAX_LANDMARKS:
+        raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
     return table[key].to_numpy(), matrix_of(table[features]) if table.num_rows else np.zeros((0, 1))
 
 

@@ -10,7 +10,7 @@ from flowlens.functions.vectors import argmax, list_column, project
 from flowlens.operators import knn, landmarks, scores as reports
 from flowlens.plans.registry import query, r6, round_sql, rounded
 from flowlens.plans.tables import flows, matrix, oracle
-from flowlens.reduce import base, experiment, learners, linear, maps, nets, sums
+from flowlens.reduce import base, experiment, learners, linear, nets, sums
 from flowlens.session import work_path
 from flowlens.sources import stores
 
@@ -135,14 +135,38 @@ def label_head_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mds_embed")
 def mds_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = matrix(spark, sf_dir)
-    return _split_columns(maps.LandmarkMds(2, landmarks=200).fit(data).transform(data), "embedding", 2)
+    return _split_columns(linear.MdsReducer(2).fit(data).transform(data), "embedding", 2)
 
 
-@query("tsne_embed")
-def tsne_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = matrix(spark, sf_dir)
-    model = maps.LandmarkTsne(2, n_iter=20, landmarks=500).fit(data)
-    return _split_columns(model.transform(data), "embedding", 2)
+# two columns have principal axes in closed form
+_PLANE = """
+WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS u, CAST(l_extendedprice AS DOUBLE) / 1000 AS v FROM lineitem),
+m AS (SELECT avg(u) AS mu, avg(v) AS mv, var_samp(u) AS a, covar_samp(u, v) AS b, var_samp(v) AS c FROM x),
+l AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS top FROM m),
+axis AS (SELECT mu, mv, b / sqrt(b * b + pow(top - a, 2)) AS p, (top - a) / sqrt(b * b + pow(top - a, 2)) AS q FROM l),
+-- an axis points to where its largest entry is positive
+signed AS (SELECT mu, mv, CASE WHEN greatest(abs(p), abs(q)) = abs(p) THEN p * sign(p) ELSE p * sign(q) END AS p,
+  CASE WHEN greatest(abs(p), abs(q)) = abs(p) THEN q * sign(p) ELSE q * sign(q) END AS q FROM axis)
+"""
+_PLANE_SQL = f"""{_PLANE}
+SELECT l_orderkey, l_linenumber, {round_sql('(u - mu) * p + (v - mv) * q', 'e0')} FROM x, signed"""
+
+
+def _plane(spark: SparkSession, sf_dir: str, reducer) -> DataFrame:
+    data = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.array(
+        F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000).alias("features"))
+    placed = reducer.fit(data).transform(data)
+    return rounded(placed.select("l_orderkey", "l_linenumber", F.get("embedding", F.lit(0)).alias("e0")), ["e0"])
+
+
+@query("pca_plane", _PLANE_SQL)
+def pca_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plane(spark, sf_dir, linear.PcaReducer(1))
+
+
+@query("mds_plane", _PLANE_SQL)
+def mds_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plane(spark, sf_dir, linear.MdsReducer(1))
 
 
 # ---- classifiers and experiments ------------------------------------------------------------------
@@ -260,5 +284,5 @@ def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of a map that cannot be recomputed cheaply, written and read back by split."""
     data = matrix(spark, sf_dir)
     path = work_path(spark, "embeddings")
-    stores.save_embeddings(maps.LandmarkMds(2, landmarks=200).fit(data).transform(data), path)
+    stores.save_embeddings(linear.MdsReducer(2).fit(data).transform(data), path)
     return _split_columns(stores.load_embeddings(spark, path, "test"), "embedding", 2)

@@ -3,8 +3,7 @@
 
 def model_class(kind: str):
     """Model type of a saved run."""
-    from flowlens.reduce.linear import LinearModel
-    from flowlens.reduce.maps import LandmarkMdsModel, LandmarkTsneModel
+    from flowlens.reduce.linear import LinearModel, MdsModel
     from flowlens.reduce.nets import NetModel
 
-    return {"pca": LinearModel, "lda": LinearModel, "mds": LandmarkMdsModel, "tsne": LandmarkTsneModel}.get(kind, NetModel)
+    return {"pca": LinearModel, "lda": LinearModel, "mds": MdsModel}.get(kind, NetModel)

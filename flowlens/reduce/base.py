@@ -22,6 +22,10 @@ class Reducer(Estimator):
         super().__init__()
         self.size, self.features, self.output = size, features, output
 
+    def identity(self) -> dict:
+        """What a saved model must agree in to stand for this reducer."""
+        return {"kind": self.name, "size": self.size}
+
     def with_run(self, run: int) -> Reducer:
         """The same reducer for another independently initialised run."""
         return self

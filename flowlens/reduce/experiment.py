@@ -12,6 +12,7 @@ from flowlens.operators import classification as cls, clustering as clu, scores
 from flowlens.reduce import learners
 from flowlens.reduce.base import Reducer, ReducerModel, load_models, models_exist, save_models
 from flowlens.schema import CATEGORIES
+from flowlens.session import written
 
 TASKS = {"binary": "label", "category": "category"}
 _LONG = ["run", "classifier", "task", "space", "split", "metric", "value"]
@@ -43,7 +44,8 @@ def compare_spaces_clustering(data: DataFrame, space: str, run: int, clusterers:
     vectors = data.withColumn("vec", array_to_vector(F.col(features)))
     for name, factory in clusterers.items():
         model = factory("label").fit(vectors.where("split = 'train'"))
-        placed = model.transform(vectors).select(key, "split", "label", "category", features, "prediction").persist()
+        placed = model.transform(vectors).select(key, "split", "label", "category", features, "prediction")
+        placed = written(placed, "placed")
         shapes = _shapes(placed, features, key)
         for task, label in TASKS.items():
             table = clu.agreement_metrics(placed, label, "prediction", ["split"]).join(shapes, "split")
@@ -104,8 +106,8 @@ class Experiment:
         self.models: list[ReducerModel] = []
 
     def fit(self, data: DataFrame) -> Experiment:
-        """Networks train all runs in the same passes; other reducers fit run by run. t-SNE and MDS see all splits."""
-        train = data if self.reducer.name in ("tsne", "mds") else data.where("split = 'train'")
+        """Networks train all runs in the same passes; other reducers fit run by run. MDS sees all splits."""
+        train = data if self.reducer.name == "mds" else data.where("split = 'train'")
         if hasattr(self.reducer, "fit_runs"):
             self.models = self.reducer.fit_runs(train, self.runs)
         else:
@@ -125,8 +127,18 @@ class Experiment:
     def save(self, spark: SparkSession, path: str) -> None:
         save_models(spark, self.models, path)
 
-    def load(self, spark: SparkSession, path: str) -> Experiment:
-        self.models = load_models(spark, path)[: self.runs]
+    def load(self, spark: SparkSession, path: str, settings: bool = True) -> Experiment:
+        """Raises unless the path holds as many runs of the same kind, size and, if wanted, settings as asked for."""
+        models = load_models(spark, path)
+        asked = {k: v for k, v in self.reducer.identity().items() if settings or k in ("kind", "size")}
+        for model in models:
+            found = {"kind": model.kind, **{k: v for k, v in model.meta.items() if k in asked}}
+            found["size"] = model.meta.get("requested", model.meta.get("size"))
+            if found != asked:
+                raise ValueError(f"{path} holds {found}, not {asked}")
+        if len(models) != self.runs:
+            raise ValueError(f"{path} holds {len(models)} runs, not {self.runs}")
+        self.models = models
         return self
 
     def scores(self, data: DataFrame) -> DataFrame:

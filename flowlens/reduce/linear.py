@@ -1,18 +1,15 @@
-"""Principal components and Fisher discriminants."""
+"""Principal components, classical scaling and Fisher discriminants."""
 
 from __future__ import annotations
 
 import warnings
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.functions.vectors import project
 from flowlens.reduce.base import Reducer, ReducerModel
-from flowlens.reduce.sums import class_scatter, feature_width, fix_signs
+from flowlens.reduce.sums import class_scatter, fix_signs, moments
 
 
 class LinearModel(ReducerModel):
@@ -25,20 +22,45 @@ class LinearModel(ReducerModel):
         return self.params_["components"]
 
 
+def principal_axes(dataset: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, all axes in order of falling variance, and their shares of it: one pass, a d x d problem on the driver."""
+    _, mean, covariance = moments(dataset, features)
+    values, vectors = np.linalg.eigh(covariance)
+    order = np.argsort(values)[::-1]
+    values = np.maximum(values[order], 0)
+    return mean, fix_signs(vectors[:, order]), values / max(values.sum(), 1e-300)
+
+
 class PcaReducer(Reducer):
-    """MLlib's PCA with all components kept; its transform does not centre, so the projection is ours."""
+    """Principal components of one pass over the rows, all of them kept."""
 
     name = "pca"
 
     def _fit(self, dataset: DataFrame) -> LinearModel:
-        d = feature_width(dataset, self.features)
-        vectors = dataset.select(array_to_vector(F.col(self.features)).alias("v"))
-        mean = vectors.select(vector_to_array(Summarizer.mean(F.col("v"))).alias("m")).first().m
-        fitted = PCA(k=d, inputCol="v", outputCol="pc").fit(vectors)
-        params = {"components": fix_signs(fitted.pc.toArray()), "mean": np.asarray(mean),
-                  "variance_share": fitted.explainedVariance.toArray()}
-        return LinearModel(self.name, params, self.features, self.output,
-                           {"size": min(self.size, d), "flat": ["mean", "variance_share"]})
+        mean, axes, share = principal_axes(dataset, self.features)
+        return LinearModel(self.name, {"components": axes, "mean": mean, "variance_share": share}, self.features, self.output,
+                           {"size": min(self.size, len(mean)), "flat": ["mean", "variance_share"]})
+
+
+class MdsReducer(Reducer):
+    """Classical scaling: the map of all rows whose distances fit theirs best in the sense of inner products.
+
+    For Euclidean distances that map is the projection on the first principal axes of the same rows, so no distance
+    matrix and no sample is needed.
+    """
+
+    name = "mds"
+
+    def _fit(self, dataset: DataFrame) -> MdsModel:
+        mean, axes, _ = principal_axes(dataset, self.features)
+        size = min(self.size, len(mean))
+        return MdsModel(self.name, {"components": axes[:, :size], "mean": mean}, self.features, self.output,
+                        {"size": size, "flat": ["mean"]})
+
+
+class MdsModel(LinearModel):
+    def feature_matrix(self) -> np.ndarray:
+        raise NotImplementedError("a distance map has no feature weights")
 
 
 class LdaReducer(Reducer):

@@ -241,6 +241,9 @@ class NetReducer(Reducer):
         other.seed = self.seed + run
         return other
 
+    def identity(self) -> dict:
+        return {**super().identity(), "spec": asdict(self.spec)}
+
     def _fit(self, dataset: DataFrame) -> NetModel:
         return self.fit_runs(dataset, 1)[0]
 

@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
+        if "://" not in base and not base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir needs a scheme that says where all executors find it, not {base}")
         return base.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:

@@ -36,7 +36,8 @@ class FlowDataset:
     @classmethod
     def prepare(cls, capture: DataFrame, train: DataFrame, test: DataFrame, path: str | None = None,
                 val_percent: int = 20, constant: str = "zero", strict_finite: bool = True) -> FlowDataset:
-        """Domain and scale come from the capture; the training table is split into train and val by row hash.
+        """Domain and scale come from the capture; the training table is split into train and val by a hash of
+        the row's columns; equal rows fall on the same side.
 
         Models need finite features, so here a -inf rate becomes 0 unless ``strict_finite`` is switched off.
         """
@@ -47,14 +48,15 @@ class FlowDataset:
         scaler = VectorScaler.fit(encoder.transform(whole).select("features"), constant=constant)
 
         def ready(df: DataFrame) -> DataFrame:
-            cleaned = encoder.transform(clean_flows(df, strict_finite))
+            # the bucket follows from what the row says, so another layout of the files gives the same split
+            marked = df.withColumn("_bucket", F.pmod(F.xxhash64(*df.columns, F.lit(1337)), F.lit(100)))
+            cleaned = encoder.transform(clean_flows(marked, strict_finite))
             return scaler.transform(cleaned).select(
-                "features", F.col("label").cast("int").alias("label"), category_number().alias("category"))
+                "features", F.col("label").cast("int").alias("label"), category_number().alias("category"), "_bucket")
 
         numbered = ready(train).withColumn("row_id", F.monotonically_increasing_id())
-        bucket = F.pmod(F.xxhash64("row_id", F.lit(1337)), F.lit(100))
-        labelled = random_split(numbered, bucket, val_percent)
-        tested = ready(test).withColumns({
+        labelled = random_split(numbered, F.col("_bucket"), val_percent).drop("_bucket")
+        tested = ready(test).drop("_bucket").withColumns({
             "row_id": F.monotonically_increasing_id() + F.lit(1 << 62), "split": F.lit("test"),
         })
         # row ids depend on the file layout of this read, so they are fixed by writing once

@@ -160,6 +160,17 @@ def test_last_n_equals_plain_windows(spark, n, block):
     assert all(sum(r[1:]) == len(v) for r, v in zip(matrix, held))
 
 
+@pytest.mark.parametrize("index", ["id * 5", "id * id - 300", "-3 * id", "id div 2"])
+def test_last_n_over_an_index_with_gaps(spark, index):
+    df = spark.range(400).selectExpr(f"{index} AS i", "id").repartition(5)
+    top = rolling.last_n(df, "i", 20, {"k": F.count(F.lit(1)), "low": F.min("i")}, block=32).orderBy("i", "k").collect()
+    sums = rolling.last_n_sums(df, "i", 20, {"s": F.col("i")}, block=32).orderBy("i").collect()
+    keys = sorted(r.i for r in df.collect())
+    assert [(r.i, r.k) for r in top] == [(x, min(at + 1, 20)) for at, x in enumerate(keys)]
+    assert [r.low for r in top] == [keys[max(0, at - 19)] for at in range(400)]
+    assert sorted(r.s for r in sums) == sorted(sum(keys[max(0, at - 19) : at + 1]) for at in range(400))
+
+
 def test_block_must_hold_the_window(spark):
     with pytest.raises(ValueError):
         rolling.last_n(spark.range(5), "id", 10, {}, block=5)

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from flowlens.reduce import base, experiment, learners, linear, maps, nets, sums
+from flowlens.reduce import base, experiment, learners, linear, nets, sums
 
 
 @pytest.fixture(scope="module")
@@ -145,34 +145,21 @@ def test_options_are_checked():
             nets.NetSpec(**bad)
 
 
-def test_landmark_mds_recovers_planar_distances(spark):
+def test_mds_recovers_planar_distances(spark):
     rng = np.random.default_rng(4)
     plane = rng.normal(0, 3, (120, 2))
     turn, _ = np.linalg.qr(rng.normal(0, 1, (6, 6)))
     x = plane @ turn[:2] + rng.normal(0, 1, 6)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
-    z = collected(maps.LandmarkMds(2, landmarks=15).fit(df).transform(df))
+    z = collected(linear.MdsReducer(2).fit(df).transform(df))
     gap = lambda m: np.sqrt(((m[:, None] - m[None]) ** 2).sum(-1))
     assert np.allclose(gap(z), gap(plane), atol=1e-7)
 
 
-def test_tsne_keeps_neighbours_together(blobs):
-    df, x, y = blobs
-    model = maps.LandmarkTsne(2, perplexity=15, n_iter=60, landmarks=120).fit(df)
-    z = collected(model.transform(df))
-    d = ((z[:, None] - z[None]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, axis=1)[:, :10]
-    assert (y[near] == y[:, None]).mean() > 0.9  # by chance a third
-    history = model.meta["history"]
-    assert history[-1] < history[0]
-
-
 def test_saved_models_load_equal(spark, blobs, tmp_path):
     df = blobs[0]
     models = [linear.PcaReducer(2).fit(df), linear.LdaReducer(2, categories=True).fit(df),
-              nets.ae_category(1, steps=1).fit(df), maps.LandmarkMds(2, landmarks=20).fit(df),
-              maps.LandmarkTsne(2, perplexity=5, n_iter=3, landmarks=40).fit(df)]
+              nets.ae_category(1, steps=1).fit(df), linear.MdsReducer(2).fit(df)]
     for i, model in enumerate(models):
         path = str(tmp_path / str(i))
         assert not base.models_exist(spark, path)
@@ -238,3 +225,13 @@ def test_custom_reducer_and_clusterer(blobs):
     assert scores.select("metric").distinct().count() == 8
     assert scores.where("task = 'category' AND space = 'original' AND metric = 'adj_rand_index'").agg(
         F.min("value")).first()[0] > 0.8
+
+
+def test_load_refuses_other_models(spark, blobs, tmp_path):
+    df, path = blobs[0].withColumn("split", F.lit("train")), str(tmp_path / "saved")
+    experiment.Experiment(nets.ae_category(1, steps=1), 1).fit(df).save(spark, path)
+    assert len(experiment.Experiment(nets.ae_category(1, steps=1), 1).load(spark, path).models) == 1
+    for other, runs in ((nets.ae_binary(1), 1), (nets.ae_category(2), 1), (nets.ae_category(1), 2),
+                        (nets.ae_category(1, reconstruct_weight=0.7), 1)):
+        with pytest.raises(ValueError):
+            experiment.Experiment(other, runs).load(spark, path)
