@@ -69,9 +69,8 @@ def replay_job(spark: SparkSession, path: str, keep: int = 200, every: str = "10
     """Replay the flows; every trigger refreshes the last-``keep`` window below ``output``."""
     output = output or work_path(spark, "flow-map")
     stream = replay.replay_stream(spark, f"{path}/flows", seek=seek).select(*SCORED_COLUMNS)
-    state = windows.last_n_state(stream, keep, "index", "category", PREDICTIONS)
-    query = sinks.start(state, windows.merge_shards(output, keep, "index"), "update", available_now=available_now,
-                        every=every)
+    query = sinks.start(stream, windows.keep_last_n(output, keep, "index", "category", PREDICTIONS),
+                        available_now=available_now, every=every)
     return query, output
 
 

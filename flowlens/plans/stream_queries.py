@@ -53,8 +53,8 @@ def stream_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _last_n(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
     path = work_path(spark, "last-n")
-    state = windows.last_n_state(_replayed(_scored(spark, sf_dir), "flow_id"), n, "flow_id", "category", _PREDICTIONS)
-    sinks.drain(state, windows.merge_shards(path, n, "flow_id"), "update")
+    stream = _replayed(_scored(spark, sf_dir), "flow_id")
+    sinks.drain(stream, windows.keep_last_n(path, n, "flow_id", "category", _PREDICTIONS))
     return sinks.latest_epoch(spark, f"{path}/window")
 
 

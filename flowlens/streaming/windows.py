@@ -2,70 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowlens.operators.classification import category_confusion
 from flowlens.streaming import sinks
 
-SHARDS = 16
-
 
-def last_n_state(stream: DataFrame, n: int, index: str, category: str, predictions: list[str],
-                 shards: int = SHARDS) -> DataFrame:
-    """Per shard (a hash of the index) the last ``n`` flows; every trigger emits the shards it touched.
+def keep_last_n(path: str, n: int, index: str, category: str, predictions: list[str]):
+    """foreachBatch writer: the last ``n`` flows of the batch and of the window before, as ``path/window``.
 
-    Sharding keeps the state of one stream spread over tasks; any of the overall last n is among the
-    last n of its shard.
+    Every task keeps its own last n rows before they meet, so a batch of any size moves n rows a task at most. There is no
+    state besides the window of the epoch before, which a repeat of the batch reads again; older windows are removed.
     """
     ints = [category, *predictions]
-    rows = stream.select(
-        F.pmod(F.xxhash64(index), F.lit(shards)).cast("int").alias("shard"), F.col(index).cast("long").alias(index),
-        *[F.col(c).cast("int").alias(c) for c in ints],
-    )
-    schema = f"shard int, {index} long, " + ", ".join(f"{c} int" for c in ints)
-    state_schema = f"{index} array<long>, " + ", ".join(f"{c} array<int>" for c in ints)
-
-    def keep(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        names = [index, *ints]
-        held = pd.DataFrame(dict(zip(names, state.get))) if state.exists else None
-        for frame in frames:
-            held = (frame[names] if held is None else pd.concat([held, frame[names]])).nlargest(n, index)
-        held = held.sort_values(index)
-        state.update(tuple(held[c].tolist() for c in names))
-        yield held.assign(shard=key[0])[["shard", *names]]
-
-    return rows.groupBy("shard").applyInPandasWithState(
-        keep, schema, state_schema, "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def merge_shards(path: str, n: int, index: str):
-    """foreachBatch writer: shards touched now, the rest from the previous epoch, cut to the last n overall.
-
-    Tables hold at most shards x n rows. ``path/shards`` keeps every shard, ``path/window`` the merged window.
-    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            held = batch
-            if epoch > 0:
-                before = spark.read.parquet(sinks.epoch_path(f"{path}/shards", epoch - 1))
-                held = before.join(batch.select("shard").distinct(), "shard", "left_anti").unionByName(batch)
-            sinks.write_epoch(held.coalesce(1), f"{path}/shards", epoch)
-            shards = spark.read.parquet(sinks.epoch_path(f"{path}/shards", epoch))
-            window = shards.drop("shard").orderBy(F.desc(index)).limit(n)
-            sinks.write_epoch(window, f"{path}/window", epoch)
-            if epoch >= 2:  # the previous epoch stays, for a repeat of this one
-                for part in ("shards", "window"):
-                    sinks.drop_epoch(spark, f"{path}/{part}", epoch - 2)
-        finally:
-            batch.unpersist()
+        rows = batch.select(F.col(index).cast("long").alias(index), *[F.col(c).cast("int").alias(c) for c in ints])
+        if epoch > 0:
+            rows = rows.unionByName(spark.read.parquet(sinks.epoch_path(f"{path}/window", epoch - 1)))
+        sinks.write_epoch(rows.orderBy(F.desc(index)).limit(n), f"{path}/window", epoch)
+        if epoch >= 2:
+            sinks.drop_epoch(spark, f"{path}/window", epoch - 2)
 
     return write
 

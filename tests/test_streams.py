@@ -52,8 +52,8 @@ def test_last_n_across_a_restart(spark):
     replay.write_replay(scored(spark, 300), path, files=2)
 
     def run():
-        state = windows.last_n_state(replay.replay_stream(spark, path), 50, "index", "category", ["a", "b"], shards=3)
-        sinks.drain(state, windows.merge_shards(out, 50, "index"), "update", checkpoint)
+        stream = replay.replay_stream(spark, path)
+        sinks.drain(stream, windows.keep_last_n(out, 50, "index", "category", ["a", "b"]), checkpoint=checkpoint)
         return sinks.latest_epoch(spark, f"{out}/window")
 
     assert sorted(r["index"] for r in run().collect()) == list(range(250, 300))
