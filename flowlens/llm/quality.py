@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from flowlens.llm.labels import first_by_hash, held_out
-from flowlens.llm.words import row_sums, split_words
+from flowlens.llm.words import plain, row_sums, split_words
 from flowlens.session import drop_written, written
 
 #: Labelled documents of each label in the fit, and pairs for each of them: the bounds of the fitted sample.
@@ -35,7 +35,7 @@ def _repeats(rows: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
 
 def measured(texts: pa.Array) -> np.ndarray:
     """A row of ``WIDTH`` features for each text: shares and their roots, size, word length. All 0 without words."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = plain(texts)
     words, n = split_words(texts), len(texts)
     sizes = words.sizes()
     rows = np.repeat(np.arange(n), sizes)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from flowlens.llm.words import hashed, split_words
+from flowlens.llm.words import hashed, plain, split_words
 
 #: Text bytes that are encoded at a time, and cached stretches of text in a worker (about 40 bytes each).
 PIECE_BYTES, CACHED = 8_000_000, 2_000_000
@@ -136,12 +136,12 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts): row i has ``ids[starts[i]:starts[i + 1]]``. A null text counts as an empty one."""
-        rows, first, size, flat = self._stretches(texts.cast(pa.large_string()).fill_null(""))
+        rows, first, size, flat = self._stretches(plain(texts))
         return ragged(flat, first, size), np.concatenate([[0], np.cumsum(size)])[rows]
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
-        rows, _, size, _ = self._stretches(texts.cast(pa.large_string()).fill_null(""))
+        rows, _, size, _ = self._stretches(plain(texts))
         return np.diff(np.concatenate([[0], np.cumsum(size)])[rows])
 
     def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

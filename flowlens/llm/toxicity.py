@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from flowlens.llm.labels import first_by_hash, held_out
-from flowlens.llm.words import hashed, split_words
+from flowlens.llm.words import hashed, plain, split_words
 from flowlens.session import drop_written, written
 
 #: Hashed features; labelled documents in the fit (of each label); tasks of a pass; passes over the sample.
@@ -51,7 +51,7 @@ class Sentences:
 def sentences(texts: pa.Array) -> Sentences:
     """Sentences end with . ! ? or a line feed; words are lower-cased runs of letters and digits. Features of a word are
     itself and its first four and five letters. Every row has at least one sentence, which may have no words."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = plain(texts)
     texts = pc.replace_substring_regex(texts, r"[.!?\n\x01]+", f" {_BREAK} ")
     texts = pc.replace_substring_regex(texts, r"[\x00\x02-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
     words = split_words(pc.utf8_lower(texts))

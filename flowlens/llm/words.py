@@ -27,9 +27,23 @@ class Words:
         return np.diff(self.starts)
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """The texts as large strings, null as empty, in buffers that begin with the first one.
+
+    Slices share the buffers of the whole batch, and some string kernels (``ascii_lower`` of Arrow 23 among them) return
+    wrong offsets for arrays whose offsets don't begin at 0.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or (texts.offset == 0 and ends[0] == 0):
+        return texts
+    data = (texts.buffers()[2] or pa.py_buffer(b"")).slice(int(ends[0]), int(ends[-1] - ends[0]))
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), data)
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
     """Words between runs of ASCII white space; a null text has none."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = plain(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

@@ -91,6 +91,19 @@ def test_band_rows_keep_the_chance_of_a_miss():
         assert (1 - t ** minhash.band_rows(t)) ** minhash.BANDS <= 1e-5
 
 
+def test_words_of_slices():
+    """Batches are cut into slices, whose buffers begin before their first text."""
+    texts = pa.array([f"Text {i} of É\nmany" if i % 7 else None for i in range(100)])
+    for kind in (pa.string(), pa.large_string()):
+        for at, size in ((0, 100), (3, 20), (50, 50), (99, 1), (100, 0)):
+            for lower in (False, True):
+                w = split_words(texts.cast(kind).slice(at, size), lower)
+                w.words.validate(full=True)
+                own = [[w.words[int(c)].as_py() for c in w.codes[a:b]] for a, b in zip(w.starts, w.starts[1:])]
+                assert own == [[x.decode() for x in (t or "").encode().split()] if not lower else [x.decode() for x in (t or "").encode().lower().split()]
+                               for t in texts.slice(at, size).to_pylist()]
+
+
 def test_words_and_hashes():
     texts = ["  a b\x0bc\x1cd  \x85 q", None, "", "A É b\n", "x" * 70 + " y"]
     w = split_words(pa.array(texts))

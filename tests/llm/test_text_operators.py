@@ -33,6 +33,15 @@ def test_encoder_equals_the_library(path):
         assert (encoder.counts(pa.array(given, pa.string())) == np.diff(starts)).all()
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_on_slices(path):
+    encoder, library, given = TextEncoder(path), Tokenizer.from_file(path), texts()
+    for at, size in ((1, 5), (700, 100), (1500, 12)):
+        ids, starts = encoder.encode(pa.array(given, pa.string()).slice(at, size))
+        for i, t in enumerate(given[at : at + size]):
+            assert ids[starts[i] : starts[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
 def test_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr("flowlens.llm.tokens.CACHED", 5)
     encoder, library = TextEncoder(WORDS), Tokenizer.from_file(WORDS)
