@@ -93,24 +93,3 @@ def affinities(square: np.ndarray, perplexity: float, rounds: int = 64) -> tuple
         wide = entropy > target
         low, high = np.where(wide, middle, low), np.where(wide, high, middle)
     return power / total[:, None], beta
-
-
-def neighbour_shares(features, row_key, keys: np.ndarray, base: np.ndarray, k: int, perplexity: float) -> Column:
-    """array<struct<id, share>>: the k nearest landmarks of a row (itself excluded) with their affinities."""
-    k = min(k, len(base))
-
-    @arrow_udf("array<struct<id: bigint, share: double>>")
-    def apply(x: pa.Array, own: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("id", pa.int64()), ("share", pa.float64())]))
-        if len(own) == 0:
-            return pa.array([], kind)
-        square = fast_squared_distances(matrix_of(x), base)
-        square[own.to_numpy(zero_copy_only=False)[:, None] == keys[None, :]] = np.inf
-        width = min(k, len(base) - 1) if np.isinf(square).any() else k
-        near = np.argpartition(square, width - 1, axis=1)[:, :width]
-        shares, _ = affinities(np.take_along_axis(square, near, axis=1), perplexity)
-        offsets = pa.array(np.arange(0, near.size + 1, width, dtype=np.int32))
-        cells = pa.StructArray.from_arrays([pa.array(keys[near].ravel()), pa.array(shares.ravel())], ["id", "share"])
-        return pa.ListArray.from_arrays(offsets, cells).cast(kind)
-
-    return apply(features, row_key)

@@ -19,12 +19,6 @@ def random_split(df: DataFrame, bucket: Column, val_percent: int = 20, column: s
     return df.withColumn(column, F.when(bucket < val_percent, "val").otherwise("train"))
 
 
-def stratified_split(df: DataFrame, label: str, key: str, val_percent: int = 20, seed: int = 1337) -> DataFrame:
-    """The same fraction inside every class, up to the hash: the bucket is drawn per class."""
-    bucket = F.pmod(F.xxhash64(F.col(label), F.col(key), F.lit(seed)), F.lit(100))
-    return random_split(df, bucket, val_percent)
-
-
 def union_splits(splits: dict[str, DataFrame]) -> DataFrame:
     """Stack tables under a ``split`` column, from which every slice can be recovered."""
     return reduce(DataFrame.unionByName, [df.withColumn("split", F.lit(name)) for name, df in splits.items()])

@@ -11,7 +11,7 @@ from flowlens.operators import knn, landmarks, scores as reports
 from flowlens.plans.registry import query, r6, round_sql, rounded
 from flowlens.plans.tables import flows, matrix, oracle
 from flowlens.reduce import base, experiment, learners, linear, nets, sums
-from flowlens.session import work_path
+from flowlens.session import work_path, written
 from flowlens.sources import stores
 
 # fewer steps and smaller grids than the library defaults: a query shows the operator, a job runs it to the end
@@ -208,14 +208,14 @@ def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("linear_svc_gridsearch")
 def linear_svc_gridsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    train = rows.where("split = 'train'").persist()
+    train = written(rows.where("split = 'train'"), "train")
     return _predicted(learners.linear_svc_gridsearch("y", train.count(), cs=[0.01, 1.0]).fit(train), rows)
 
 
 @query("logistic_gridsearch")
 def logistic_gridsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    train = rows.where("split = 'train'").persist()
+    train = written(rows.where("split = 'train'"), "train")
     return _predicted(learners.logistic_gridsearch("y", train.count(), cs=[0.01, 1.0]).fit(train), rows)
 
 

@@ -16,11 +16,6 @@ def scan_capture(spark: SparkSession, parts: list[str], header: bool = False) ->
     return spark.read.schema(CAPTURE_SCHEMA).option("header", header).csv(list(parts))
 
 
-def with_event_time(df: DataFrame) -> DataFrame:
-    """Epoch seconds to timestamps."""
-    return df.withColumns({c: F.timestamp_seconds(c) for c in TIME_COLUMNS})
-
-
 def prune_columns(df: DataFrame) -> DataFrame:
     """The 43 columns models read."""
     return df.select(*MODEL_COLUMNS)
