@@ -146,7 +146,7 @@ def test_labels_of_held_out_documents_change_nothing(spark):
     assert all(a[i]["score"] == pytest.approx(b[i]["score"], abs=1e-9) for i in a)
 
 
-@pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(4, None, None), (7, 7, 7)]])
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (4, None, None), (7, 7, 7)]])
 def test_scores_of_odd_rows(spark, odd_docs, no_docs, labels):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     for score in (quality.score_quality, toxicity.score_toxicity):
