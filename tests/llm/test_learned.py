@@ -84,6 +84,29 @@ def test_mix_meets_targets(spark):
     assert copies == {i: r["copies"] for i, r in got.items() if r["copies"]}
 
 
+def test_mix_follows_the_rates_in_small_sources(spark):
+    """500 documents a source, of which the one with weight 1 is to give a tenth of its words."""
+    rng = random.Random(13)
+    docs = [(500 * k + i, " ".join(["w"] * rng.randint(1, 300)), "abc"[k]) for k in range(3) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = sorted(mixing.mix(df, weights=(7, 7, 1), percent=50).collect(), key=lambda r: (r.doc_id // 500, r["size"]))
+    for k in range(3):
+        of = rows[500 * k : 500 * k + 500]
+        assert k < 2 or of[0].target / of[0].source_size == pytest.approx(0.1, abs=0.01)
+        assert sum(r.taken for r in of) == pytest.approx(of[0].target, rel=0.01)
+        for at in range(0, 500, 100):
+            part = of[at : at + 100]
+            assert sum(r.copies for r in part) == pytest.approx(sum(r.rate for r in part), abs=3)
+            assert all(math.floor(r.rate) <= r.copies <= math.ceil(r.rate) for r in part)
+
+
+def test_mix_of_many_documents_of_one_size(spark):
+    df = spark.createDataFrame([(i, "a b c", "s" if i % 3 else "t") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1, 3), percent=70).collect()
+    for n, of in ((2000, [r for r in got if r.doc_id % 3]), (1000, [r for r in got if r.doc_id % 3 == 0])):
+        assert len(of) == n and sum(r.copies for r in of) == pytest.approx(of[0].target / 3, abs=1)
+
+
 def test_tilt_solves_the_dual(spark):
     rng = np.random.default_rng(6)
     size = rng.integers(1, 300, 500)
