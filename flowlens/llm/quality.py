@@ -88,8 +88,8 @@ def fit(measured_docs: DataFrame, labels: DataFrame) -> RankModel:
 
     Each document of the sample meets ``PAIRS`` documents of the other label: the k-th one in hash order meets places
     of the other list that shift from round to round. A logistic regression without intercept on feature differences is
-    the Bradley-Terry likelihood. The cut is the quantile of the sample's scores at the share of label 0 among all
-    labels, so as many are rejected as are known to be bad. With one label only, or none, nothing is rejected.
+    the Bradley-Terry likelihood. The cut is the quantile of the scores of all labelled rows, not only of the sample, at the
+    share of label 0 among them, so as many are rejected as are known to be bad. With one label only, or none, nothing is rejected.
     """
     known = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
     rows = measured_docs.where(~held_out(5)).join(known, "doc_id").select("doc_id", "y", "x")
@@ -113,23 +113,45 @@ def fit(measured_docs: DataFrame, labels: DataFrame) -> RankModel:
     fitted = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=60, tol=1e-6).fit(pairs)
     weights = [float(w) for w in fitted.coefficients]
     raw = RankModel(weights, 0.0, 1.0).raw(F.col("x"))
-    total = known.join(measured_docs.where(~held_out(5)).select("doc_id"), "doc_id", "left_semi").agg(F.avg(1 - F.col("y"))).first()[0]
-    # of scores in which both labels have the weight they have among all labelled documents
+    known_scores = written(rows.select("y", raw.alias("s")).groupBy("s", "y").agg(F.count("*").alias("n")), "scores")
+    every = {r.y: r.n for r in known_scores.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    below, above = _around(known_scores, every[0])
+    cut = (above + below) / 2
+    # in the sample both labels get the weight they have among all labelled documents
     scored = written(picked.select("y", raw.alias("s")), "scores")
-    share = {0: total / count[0], 1: (1 - total) / count[1]}
-    spread = Window.orderBy("s", "y").rowsBetween(Window.unboundedPreceding, 0)  # of the bounded sample
-    ranked = scored.withColumn("mass", F.sum(F.when(F.col("y") == 0, share[0]).otherwise(share[1])).over(spread))
-    below = ranked.where(F.col("mass") <= total + 1e-9).agg(F.max("s")).first()[0]
-    above = ranked.where(F.col("mass") > total + 1e-9).agg(F.min("s")).first()[0]
-    cut = above if below is None else below if above is None else (above + below) / 2
+    share = {y: every[y] / (every[0] + every[1]) / count[y] for y in (0, 1)}
     platt = LogisticRegression(maxIter=60, regParam=1e-4, weightCol="w").fit(scored.select(
         array_to_vector(F.array(F.col("s") - F.lit(cut))).alias("features"), F.col("y").cast("double").alias("label"),
         F.when(F.col("y") == 0, share[0]).otherwise(share[1]).alias("w"),
     ))
-    drop_written(picked, pairs, scored)
+    drop_written(picked, pairs, scored, known_scores)
     return RankModel(weights, float(cut), max(float(platt.coefficients[0]), 1e-6))
 
 
+def _around(scores: DataFrame, rank: int) -> tuple[float, float]:
+    """The ``rank``-th and the next smallest score of (s, n), n rows of score s; there are more than ``rank`` rows.
+
+    Scores are dealt by range and counted for each part; only the parts that hold the two ranks are looked into.
+    """
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = scores.groupBy("s").agg(F.sum("n").alias("n"))
+    ranged = written(merged.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id()), "scores")
+    sizes = sorted((r.part, r.n) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    before, offset = 0, {}
+    for part, n in sizes:
+        if before < rank + 1 and before + n >= rank:
+            offset[part] = before
+        before += n
+    start = F.lit(0)
+    for part, n in offset.items():
+        start = F.when(F.col("part") == part, F.lit(n)).otherwise(start)
+    so_far = F.sum("n").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    upto = ranged.where(F.col("part").isin(list(offset))).withColumn("upto", start + so_far)
+    found = [upto.where(F.col("upto") >= k).agg(F.min("s")).first()[0] for k in (rank, rank + 1)]
+    drop_written(ranged)
+    return found[0], found[1]
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text), learned from ``labels``.
 

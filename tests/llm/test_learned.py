@@ -159,6 +159,25 @@ def test_quality_and_toxicity_on_held_out_documents(spark):
     assert sum("vile" in r.text for r in found) / len(found) > 0.9
 
 
+def test_quality_cut_is_a_quantile_of_all_labelled_documents(spark, monkeypatch):
+    """Labels that overlap in their features, and far more of them than the fit may use."""
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    rng = random.Random(14)
+    labels = [(i, int(rng.random() < 0.6), 0) for i in range(2000)]
+    docs = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) + "!" * (rng.random() < (0.3 if q else 0.5)) for _ in range(40))) for i, q, _ in labels]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learned = [r for r in quality.score_quality(df, known).collect() if not r.held_out]
+    quality_of = {i: q for i, q, _ in labels}
+    assert sum(not r.predicted for r in learned) == pytest.approx(sum(not quality_of[r.doc_id] for r in learned), abs=2)
+
+
+def test_scores_around_a_rank(spark):
+    values = [(float(v), n) for v, n in ((3, 2), (1, 1), (2, 3), (5, 1), (1, 1), (9, 4))]
+    scores, flat = spark.createDataFrame(values, "s double, n long"), sorted(v for v, n in values for _ in range(n))
+    for rank in (1, 2, 5, 7, 11):
+        assert quality._around(scores, rank) == (flat[rank - 1], flat[rank])
+
+
 def test_labels_of_held_out_documents_change_nothing(spark):
     docs, labels = labelled(random.Random(8), 400)
     df = spark.createDataFrame(docs, "doc_id long, text string")
