@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,13 +16,12 @@ from flowlens.reduce import base, experiment, learners, linear, nets, sums
 from flowlens.session import work_path, written
 from flowlens.sources import stores
 
-# fewer steps and smaller grids than the library defaults: a query shows the operator, a job runs it to the end
-_STEPS = 15
-_RUNS = 2
+# the SQL of model_registry expects two runs; every other query uses the library's steps, runs and grids
+_REGISTRY_RUNS = 2
 
 
 def _net(maker, **options):
-    return maker(2, steps=_STEPS, lr=0.05, **options)
+    return maker(2, **options)
 
 
 def _split_columns(df: DataFrame, column: str, size: int) -> DataFrame:
@@ -188,20 +189,16 @@ def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(learners.decision_tree("y").fit(rows.where("split = 'train'")), rows)
 
 
-def _small_tree_search(label: str):
-    return learners.decision_tree_gridsearch(label, depths=[2, 4], leaves=[2, 16])
-
-
 @query("decision_tree_gridsearch")
 def decision_tree_gridsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    return _predicted(_small_tree_search("y").fit(rows.where("split = 'train'")), rows)
+    return _predicted(learners.decision_tree_gridsearch("y").fit(rows.where("split = 'train'")), rows)
 
 
 @query("best_params")
 def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    model = _small_tree_search("y").fit(rows.where("split = 'train'"))
+    model = learners.decision_tree_gridsearch("y").fit(rows.where("split = 'train'"))
     return learners.best_params(learners.search_table(model, spark))
 
 
@@ -209,14 +206,14 @@ def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_svc_gridsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     train = written(rows.where("split = 'train'"), "train")
-    return _predicted(learners.linear_svc_gridsearch("y", train.count(), cs=[0.01, 1.0]).fit(train), rows)
+    return _predicted(learners.linear_svc_gridsearch("y", train.count()).fit(train), rows)
 
 
 @query("logistic_gridsearch")
 def logistic_gridsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     train = written(rows.where("split = 'train'"), "train")
-    return _predicted(learners.logistic_gridsearch("y", train.count(), cs=[0.01, 1.0]).fit(train), rows)
+    return _predicted(learners.logistic_gridsearch("y", train.count()).fit(train), rows)
 
 
 @query("kmeans_cluster")
@@ -228,7 +225,7 @@ def kmeans_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("compare_spaces")
 def compare_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = matrix(spark, sf_dir)
-    trial = experiment.Experiment(linear.PcaReducer(2), 1, {"Decision Tree": learners.decision_tree})
+    trial = experiment.Experiment(linear.PcaReducer(2))
     return trial.fit(data).scores(data)
 
 
@@ -243,7 +240,7 @@ def compare_spaces_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independently initialised runs, scored by their own label head, as mean and deviation."""
     data = matrix(spark, sf_dir)
-    trial = experiment.Experiment(_net(nets.ae_category), _RUNS).fit(data)
+    trial = experiment.Experiment(_net(nets.ae_category)).fit(data)
     return reports.run_mean_std(trial.own_scores(data))
 
 
@@ -254,13 +251,14 @@ def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("weights_report")
 def weights_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First latent dimension: features down, (model, parameter, run) across."""
+    """Every latent dimension: features down, (model, parameter, run) across."""
     data = matrix(spark, sf_dir)
     frames = []
     for name, maker in (("bin_ae", nets.ae_binary), ("cats_ae", nets.ae_category)):
-        trial = experiment.Experiment(_net(maker, reconstruct="mse"), _RUNS).fit(data)
+        trial = experiment.Experiment(_net(maker, reconstruct="mse")).fit(data)
         frames.append(trial.weights(spark).withColumns({"model": F.lit(name), "param": F.lit("0.1")}))
-    return stores.weights_report(frames[0].unionByName(frames[1]))[0]
+    tables = stores.weights_report(frames[0].unionByName(frames[1]))
+    return reduce(DataFrame.unionByName, [table.select(F.lit(d).alias("dim"), "*") for d, table in tables.items()])
 
 
 @query("model_registry", "SELECT CAST(unnest([0, 1]) AS INT) AS run, count(*) AS rows, true AS same FROM embeddings")
@@ -268,9 +266,9 @@ def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit and save, load instead of training the second time, and compare the embeddings of both."""
     data = matrix(spark, sf_dir)
     path = work_path(spark, "models")
-    trial = experiment.Experiment(_net(nets.ae_category), _RUNS)
+    trial = experiment.Experiment(_net(nets.ae_category), _REGISTRY_RUNS)
     fitted = trial.fit_or_load(data, path).models
-    loaded = experiment.Experiment(_net(nets.ae_category), _RUNS).fit_or_load(data, path).models
+    loaded = experiment.Experiment(_net(nets.ae_category), _REGISTRY_RUNS).fit_or_load(data, path).models
     frames = [
         data.select(F.lit(run).alias("run"), "row_id", (a.embedding() == b.embedding()).alias("same"))
         for run, (a, b) in enumerate(zip(fitted, loaded))
@@ -285,4 +283,5 @@ def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = matrix(spark, sf_dir)
     path = work_path(spark, "embeddings")
     stores.save_embeddings(linear.MdsReducer(2).fit(data).transform(data), path)
-    return _split_columns(stores.load_embeddings(spark, path, "test"), "embedding", 2)
+    parts = [stores.load_embeddings(spark, path, split) for split in ("train", "val", "test")]
+    return _split_columns(reduce(DataFrame.unionByName, parts), "embedding", 2)
