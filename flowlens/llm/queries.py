@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import decontaminate, hpylm, minhash, mixing, quality, rules, token_counts, token_file, toxicity, url_filter
+from flowlens.llm import conversations, decontaminate, hpylm, merkle, minhash, mixing, quality, rules, token_counts, token_file, toxicity, url_filter
 from flowlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,98 @@ def op8_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pitman_yor_scores")
 def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score_texts(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of the ASCII string ``s``, with the table of the CTE ``crc``.
+CRC_CTE = """crc AS (SELECT list(c ORDER BY i) AS c FROM (SELECT range AS i, list_reduce(list_prepend(CAST(range AS UBIGINT),
+  [CAST(x AS UBIGINT) FOR x IN range(8)]), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS UBIGINT)) ELSE a >> 1 END) AS c FROM range(256)))"""
+CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), [CAST(ord(s[k]) AS UBIGINT) FOR k IN range(1, len(s) + 1)]),
+  lambda a, b: xor(a >> 8, c[CAST(xor(a, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT))"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_PARENTS = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+# a step of a proof: L or R with the sibling, N without one
+_STEP = "CASE WHEN xor(i >> level, 1) >= len(nodes) THEN 'N' WHEN (i >> level) & 1 = 1 THEN 'L' || nodes[xor(i >> level, 1) + 1] ELSE 'R' || nodes[xor(i >> level, 1) + 1] END"
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_CTE},
+base AS (SELECT doc_id, coalesce(lang, chr(0)) AS g, lang, sha256({" || ".join(_field_sql(c) for c in merkle.FIELDS)}) AS leaf,
+  sha256({" || ".join(_field_sql(c + " + 1" if c == "n_chars" else c) for c in merkle.FIELDS)}) AS changed,
+  coalesce((SELECT {CRC_SQL} FROM crc, (SELECT CAST(doc_id AS VARCHAR) AS s)) % 7 = 0, false) AS tampered FROM documents),
+rows AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM base),
+trees AS (SELECT g, 0 AS level, list(leaf ORDER BY i) AS nodes FROM rows GROUP BY g
+  UNION ALL SELECT g, level + 1, {_PARENTS} FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS k FROM trees WHERE len(nodes) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY k) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, {_PARENTS} FROM top WHERE len(nodes) > 1),
+low AS (SELECT doc_id, g, i, list({_STEP} ORDER BY level) AS path FROM rows JOIN trees USING (g) WHERE len(nodes) > 1 GROUP BY ALL),
+high AS (SELECT g, list({_STEP.replace("i >>", "k >>")} ORDER BY level) AS path FROM subroots, top WHERE len(nodes) > 1 GROUP BY g),
+proofs AS (SELECT r.doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root,
+  list_concat(coalesce(l.path, []), coalesce(h.path, [])) AS path, CASE WHEN tampered THEN changed ELSE leaf END AS used
+  FROM rows r JOIN subroots USING (g) LEFT JOIN low l ON r.g = l.g AND r.i = l.i LEFT JOIN high h ON r.g = h.g),
+folded AS (SELECT *, list_reduce(list_prepend(used, path), lambda a, p: sha256(CASE p[1] WHEN 'N' THEN a WHEN 'L' THEN p[2:] || a ELSE a || p[2:] END)) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(path, lambda p: p <> 'N'), lambda p: p[2:]), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+_MOVES = {0: ("su", "12"), 1: ("u", "2"), 2: ("a", "3"), 3: ("u", "2")}
+
+
+def _options_sql(s: int) -> str:
+    """The cheapest of what may be done with a line in state s, as {c, a}; v holds the best from each state behind it."""
+    initials, states = _MOVES[s]
+    kept = " ".join(f"WHEN ch = '{i}' AND f IN ('n', 't') THEN {{'c': t.c + v[{int(x) + 1}].c, 'a': 'K' || v[{int(x) + 1}].a}}".replace("t.c", "more") for i, x in zip(initials, states))
+    after = 4 if s == 2 else 3
+    return (f"list_sort(list_filter([{{'c': 2 + v[{s + 1}].c, 'a': 'D' || v[{s + 1}].a}}, CASE {kept} END, "
+            f"CASE WHEN f IN ('n', 't') THEN {{'c': 1 + more + v[{after}].c, 'a': 'R' || v[{after}].a}} END], lambda o: o IS NOT NULL))[1]")
+
+
+def _inserted_sql(v: str) -> str:
+    best = ", ".join(f"list_sort([b[{s + 1}], {{'c': 5 + {v}[{n}].c, 'a': 'I' || {v}[{n}].a}}])[1]" for s, n in enumerate((3, 3, 4, 3)))
+    return f"[{best}]"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_CTE},
+base AS (SELECT coalesce(CAST(conv_id AS VARCHAR), 'none') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  (SELECT {CRC_SQL} FROM crc, (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s)) % 20 AS d FROM conversations),
+damaged AS (SELECT g, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+  CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS copy FROM base WHERE d <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, count(*) OVER (PARTITION BY g) AS n FROM damaged),
+lines AS (SELECT g, i, n, turn, role, text, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS ch,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'n' END AS f FROM numbered),
+paths AS (SELECT DISTINCT g, n + 1 AS i, [{{'c': 0, 'a': ''}}, {{'c': 10, 'a': 'II'}}, {{'c': 5, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS v FROM lines
+  UNION ALL SELECT g, i, {_inserted_sql("w")} FROM (SELECT g, i, b, {_inserted_sql("b")} AS w FROM (
+    SELECT l.g, l.i, [{", ".join(_options_sql(s) for s in range(4))}] AS b
+    FROM paths p JOIN (SELECT *, CASE WHEN f = 't' THEN 5 ELSE 0 END AS more FROM lines) l ON l.g = p.g AND l.i = p.i - 1))),
+best AS (SELECT g, v[1].c AS cost, v[1].a AS audit FROM paths WHERE i = 1),
+edits AS (SELECT g, p, audit[p] AS e, len(regexp_replace(audit[:p], 'I', '', 'g')) AS i, len(regexp_replace(audit[:p], 'D', '', 'g')) AS q
+  FROM (SELECT g, audit, unnest(range(1, len(audit) + 1)) AS p FROM best)),
+made AS (SELECT e.g, p, e, q, l.role, coalesce(CASE WHEN e = 'I' THEN '' ELSE l.text END, '') AS text,
+  max(CASE WHEN e = 'K' AND q = 1 AND ch = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.g) AS lead FROM edits e LEFT JOIN lines l ON l.g = e.g AND l.i = e.i),
+repaired AS (SELECT g, string_agg(CASE WHEN e = 'K' THEN role WHEN (q - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS t FROM made WHERE e <> 'D' GROUP BY g),
+pairs AS (SELECT g, ch || lead(ch) OVER (PARTITION BY g ORDER BY i) AS pair FROM lines),
+counted AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate,
+  count(*) FILTER (WHERE f = 't') AS truncated FROM lines GROUP BY g)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  (SELECT count(*) FROM pairs p WHERE p.g = c.g AND pair NOT IN ('su', 'ua', 'au')) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'none') AS g FROM conversations) c
+LEFT JOIN counted USING (g) LEFT JOIN best USING (g) LEFT JOIN repaired USING (g)
+"""
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
