@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import conversations, decontaminate, hpylm, merkle, minhash, mixing, quality, rules, token_counts, token_file, toxicity, url_filter
+from flowlens.llm import automata, conversations, decontaminate, hpylm, merkle, minhash, mixing, quality, rules, token_counts, token_file, toxicity, url_filter
 from flowlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,3 +263,20 @@ LEFT JOIN counted USING (g) LEFT JOIN best USING (g) LEFT JOIN repaired USING (g
 @query("op11_conversation_repair", OP11_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+runs AS (SELECT r, p, array_to_string(w[p:p + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM words WHERE len(w) >= 35)),
+again AS (SELECT s FROM runs GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM runs SEMI JOIN again USING (s)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY q) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM words) ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)
+"""
+
+
+@query("op12_suffix_automaton_dedup", OP12_SQL)
+def op12_suffix_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the spans, which the operator also returns."""
+    return automata.repeats(table(spark, sf_dir, "documents"), window=35).drop("removed")
