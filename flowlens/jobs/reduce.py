@@ -104,6 +104,8 @@ def run_experiment(args: argparse.Namespace, data: DataFrame, classifiers=None)
     runs = 1 if args.method in ("pca", "lda", "mds") else args.number
     trial = Experiment(make_reducer(args), runs, classifiers).fit_or_load(data, getattr(args, "model_path", None))
     scores = trial.scores(data)
+    if trial.searches:
+        preview(trial.best_parameters(data.sparkSession))
     if args.method in ("sup_cats_ae", "bin_ae", "cats_ae"):
         scores = scores.unionByName(trial.own_scores(data))
     return scores

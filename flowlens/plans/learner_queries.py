@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.functions.vectors import argmax, list_column, project
-from flowlens.operators import knn, landmarks, scores as reports
+from flowlens.operators import classification, knn, landmarks, scores as reports
 from flowlens.plans.registry import query, r6, round_sql, rounded
 from flowlens.plans.tables import flows, matrix, oracle
 from flowlens.reduce import base, experiment, learners, linear, nets, sums
@@ -173,7 +173,11 @@ def mds_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- classifiers and experiments ------------------------------------------------------------------
 
 def _vectors(spark: SparkSession, sf_dir: str, label: str = "label") -> DataFrame:
-    return matrix(spark, sf_dir).select(
+    return _with_folds(matrix(spark, sf_dir), label)
+
+
+def _with_folds(data: DataFrame, label: str) -> DataFrame:
+    return data.select(
         "row_id", "split", array_to_vector("features").alias("vec"), F.col(label).cast("double").alias("y"),
         learners.fold_column("row_id", label).alias(learners.FOLD))
 
@@ -229,6 +233,54 @@ def compare_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trial.fit(data).scores(data)
 
 
+def _seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a class that follows from the month, the only feature that varies; a principal axis keeps it whole."""
+    month = F.month("o_orderdate")
+    category = F.least(month, F.lit(10)) - 1
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("row_id"), F.array(month.cast("double"), F.lit(0.0)).alias("features"),
+        category.alias("category"), (category != 9).cast("int").alias("label"),
+        F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'test' WHEN o_orderkey % 5 = 1 THEN 'val' ELSE 'train' END").alias("split"))
+
+
+_SEASONS = """WITH seasons AS (SELECT o_orderkey AS row_id, CAST(least(month(o_orderdate), 10) - 1 AS INT) AS category,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'test' WHEN o_orderkey % 5 = 1 THEN 'val' ELSE 'train' END AS split FROM orders)"""
+_AVERAGES = ", ".join(f"'{m}'" for m in classification.AVERAGES)
+
+
+@query("compare_spaces_rule", f"""{_SEASONS},
+found AS (SELECT DISTINCT split, category FROM seasons),
+metrics AS (SELECT 'binary' AS task, split, unnest(['accuracy', 'precision', 'recall', 'f1', 'far']) AS metric FROM (SELECT DISTINCT split FROM found)
+  UNION ALL SELECT 'category', split, unnest([{_AVERAGES}]) FROM (SELECT DISTINCT split FROM found)
+  UNION ALL SELECT 'category', split, m || '_' || category FROM found, (SELECT unnest(['f1', 'precision', 'recall']) AS m))
+SELECT 0 AS run, 'Decision Tree' AS classifier, task, space, split, metric, CASE WHEN metric = 'far' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS value
+FROM metrics, (SELECT unnest(['original', 'reduced']) AS space)""")
+def compare_spaces_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole comparison, grid searches included, where the classes follow from a feature: no tree may err."""
+    data = written(_seasons(spark, sf_dir), "seasons")
+    trial = experiment.Experiment(linear.PcaReducer(1))
+    return rounded(trial.fit(data).scores(data), ["value"])
+
+
+@query("tree_search_rule", f"{_SEASONS} SELECT row_id, split, category AS truth, category AS prediction FROM seasons")
+def tree_search_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(_with_folds(_seasons(spark, sf_dir), "category"), "seasons")
+    return _predicted(learners.decision_tree_gridsearch("y").fit(rows.where("split = 'train'")), rows)
+
+
+@query("tree_rule", f"{_SEASONS} SELECT row_id, split, category AS truth, category AS prediction FROM seasons")
+def tree_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_folds(_seasons(spark, sf_dir), "category")
+    return _predicted(learners.decision_tree("y").fit(rows.where("split = 'train'")), rows)
+
+
+@query("logistic_rule", f"{_SEASONS} SELECT row_id, split, CAST(category <> 9 AS INT) AS truth, CAST(category <> 9 AS INT) AS prediction FROM seasons")
+def logistic_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(_with_folds(_seasons(spark, sf_dir), "label"), "seasons")
+    train = rows.where("split = 'train'")
+    return _predicted(learners.built(learners.REGISTRY["Logistic Regression"], "y", train).fit(train), rows)
+
+
 @query("compare_spaces_clustering")
 def compare_spaces_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = matrix(spark, sf_dir)

@@ -14,23 +14,28 @@ from flowlens.reduce.base import Reducer, ReducerModel, load_models, models_exis
 from flowlens.schema import CATEGORIES
 from flowlens.session import written
 
+NET_RUNS = 5  # fixed value
 TASKS = {"binary": "label", "category": "category"}
 _LONG = ["run", "classifier", "task", "space", "split", "metric", "value"]
 
 
 def compare_spaces(data: DataFrame, space: str, run: int, classifiers: dict[str, learners.Factory],
-                   features: str, key: str = "row_id") -> DataFrame:
+                   features: str, key: str = "row_id", searches: list[tuple] | None = None) -> DataFrame:
     """Fit every classifier on the train split for both tasks and score all splits, as a long table.
 
-    ``data`` has row_id, label, category, split and the array column ``features``.
+    ``data`` has row_id, label, category, split and the array column ``features``. ``searches`` gets a row
+    (run, classifier, task, space, params, accuracy) for each grid search: its best point.
     """
     out = []
-    vectors = data.withColumn("vec", array_to_vector(F.col(features)))
+    vectors = written(data.withColumn("vec", array_to_vector(F.col(features))).select(key, "split", "vec", *TASKS.values()), "vectors")
     for name, factory in classifiers.items():
         for task, label in TASKS.items():
             rows = vectors.withColumn(learners.FOLD, learners.fold_column(key, label)).select(
                 key, "split", "vec", learners.FOLD, F.col(label).cast("double").alias("y"))
-            model = factory("y").fit(rows.where("split = 'train'"))
+            train = rows.where("split = 'train'")
+            model = learners.built(factory, "y", train).fit(train)
+            if searches is not None and hasattr(model, "avgMetrics"):
+                searches.append((run, name, task, space, *learners.best_point(model)))
             predicted = model.transform(rows).select("split", "y", "prediction")
             metrics = cls.binary_scores if task == "binary" else cls.category_scores
             out.append(_labelled(metrics(predicted, "y", "prediction", ["split"]), run, name, task, space))
@@ -95,12 +100,14 @@ class Experiment:
     """``runs`` fits of one reducer, their scores and reports.
 
     ``data`` is a table with row_id, features, label, category and split. Scores on the original features
-    are the same for every run, so they are computed once.
+    are the same for every run, so they are computed once. By default networks, which start at random, have five runs,
+    other reducers one. ``searches`` holds the best point of every grid search after ``scores``.
     """
 
-    def __init__(self, reducer: Reducer, runs: int = 5, classifiers: dict[str, learners.Factory] | None = None,
+    def __init__(self, reducer: Reducer, runs: int | None = None, classifiers: dict[str, learners.Factory] | None = None,
                  clusterers: dict[str, learners.Factory] | None = None):
-        self.reducer, self.runs = reducer, runs
+        self.reducer, self.runs = reducer, runs or (NET_RUNS if hasattr(reducer, "fit_runs") else 1)
+        self.searches: list[tuple] = []
         self.classifiers = learners.CLASSIFIERS if classifiers is None else classifiers
         self.clusterers = {} if clusterers is None else clusterers
         self.models: list[ReducerModel] = []
@@ -154,11 +161,16 @@ class Experiment:
     def _space(self, data: DataFrame, space: str, run: int, features: str) -> DataFrame:
         out = []
         if self.classifiers:
-            out.append(compare_spaces(data, space, run, self.classifiers, features))
+            out.append(compare_spaces(data, space, run, self.classifiers, features, searches=self.searches))
         if self.clusterers:
             out.append(compare_spaces_clustering(data, space, run, self.clusterers, features))
         return _stack(out)
 
+    def best_parameters(self, spark: SparkSession) -> DataFrame:
+        """(run, classifier, task, space, params, accuracy) of every search so far."""
+        return spark.createDataFrame(
+            self.searches, "run int, classifier string, task string, space string, params string, accuracy double")
+
     def own_scores(self, data: DataFrame) -> DataFrame:
         return _stack([own_scores(data, model, run) for run, model in enumerate(self.models)])
 

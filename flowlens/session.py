@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,17 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/flowlens/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shared_path(spark: SparkSession, label: str) -> Iterator[str]:
+    """A fresh path below the shared folder that is deleted afterwards."""
+    path = work_path(spark, label)
+    try:
+        yield path
+    finally:
+        fs, hpath = _located(spark, path)
+        fs.delete(hpath, True)
+
+
 def written(df: DataFrame, label: str = "step", **options: str) -> DataFrame:
     """The table written once as Parquet below the shared folder and read back.
 
