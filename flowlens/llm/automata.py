@@ -291,7 +291,8 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     each = F.expr(f"""transform(hashes, (h, k) -> struct(h, firsts[k] AS first,
         coalesce(try_element_at(firsts, k + 2), cast(n_words AS int) - {window - 1}) - 1 AS last))""")
     spread = contents.select("cid", "copies", F.inline(each))
-    often = spread.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h")
+    # written, so that the join has nothing but exchanges below it and can split a frequent anchor
+    often = written(spread.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h"), "often")
     lists = spread.join(often, "h").groupBy("cid").agg(F.collect_list(F.struct("first", "last", "h")).alias("places"))
     lists = lists.join(contents.select("cid", "copies", F.col("of.id").alias("id"), F.col("of.raw").alias("raw")), "cid")
     # rows that agree in id and text all join; their words occur more than once in any case
@@ -329,5 +330,5 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             .otherwise(F.coalesce("spans", F.expr("array()"))).alias("removed"),
         ), "repeats"
     )
-    drop_written(rows, contents, texts, places, distinct, crowds, single, own, masks)
+    drop_written(rows, contents, often, texts, places, distinct, crowds, single, own, masks)
     return out
