@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.graph import components
+from flowlens.llm.tokens import runs
 from flowlens.llm.words import hashed, mixed, split_words
 from flowlens.session import drop_written, written
 
@@ -24,8 +25,10 @@ _LONGS = HASHES // _CELLS
 #: A link at the threshold is missed by no more than this chance.
 _MISSED = 1e-5
 #: Standard deviations below the threshold at which an estimate counts as hopeless.
-_MARGIN = 3.6
+_MARGIN = 4.5
 _ROTATE = np.uint64(0x9E3779B97F4A7C15)
+#: Text bytes and rows that are worked on at a time.
+PIECE_BYTES, PIECE_ROWS = 2_000_000, 1000
 
 
 def band_rows(threshold: float, bands: int = BANDS) -> int:
@@ -95,7 +98,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
         flip, factor = _permutations()
         band = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, 1):
                 sets, starts = shingle_sets(part.column(1), shingle)
                 n = np.diff(starts)
                 best = np.zeros((len(n), HASHES), np.uint32)
@@ -115,10 +118,11 @@ def signatures(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>, sig array<long>")
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Pieces of few rows, so that the arrays made from them stay small."""
-    for at in range(0, batch.num_rows, most):
-        yield batch.slice(at, most)
+def _slices(batch: pa.RecordBatch, *texts: int) -> Iterator[pa.RecordBatch]:
+    """Pieces with few text bytes and few rows, so that the arrays made from them stay small."""
+    for start, n in runs([batch.column(i) for i in texts], PIECE_BYTES):
+        for at in range(start, start + n, PIECE_ROWS):
+            yield batch.slice(at, min(PIECE_ROWS, start + n - at))
 
 
 def _lists(matrix: np.ndarray) -> pa.Array:
@@ -156,7 +160,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, 2, 3):
                 sides = []
                 for ids, text in ((0, 2), (1, 3)):  # a document of many pairs is split into words once
                     _, first, at = np.unique(np.asarray(part.column(ids)), return_index=True, return_inverse=True)

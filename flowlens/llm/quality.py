@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from flowlens.llm.labels import first_by_hash, held_out
+from flowlens.llm.tokens import runs
 from flowlens.llm.words import plain, row_sums, split_words
 from flowlens.session import drop_written, written
 
 #: Labelled documents of each label in the fit, and pairs for each of them: the bounds of the fitted sample.
 SAMPLE, PAIRS = 20_000, 4
+#: Text bytes that are measured at a time.
+PIECE_BYTES = 2_000_000
 #: The score at the cut between the labels.
 CUT = 0.3
 SHARES = ("distinct words", "repeated neighbours", "capitals", "odd marks", "exclamations", "bars", "digits", "other marks", "repeated lines")
@@ -62,7 +65,7 @@ def measured(texts: pa.Array) -> np.ndarray:
 
 @F.arrow_udf(ArrayType(DoubleType()))
 def features(text: pa.Array) -> pa.Array:
-    parts = [measured(text.slice(at, 1000)) for at in range(0, len(text), 1000)] or [np.zeros((0, WIDTH))]
+    parts = [measured(text.slice(at, n)) for at, n in runs([text], PIECE_BYTES)] or [np.zeros((0, WIDTH))]
     matrix = np.concatenate(parts)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * WIDTH), pa.array(matrix.ravel()))
 

@@ -34,6 +34,24 @@ def slices(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iterato
         yield batch.slice(start)
 
 
+def runs(texts: list[pa.Array], most: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of rows with about ``most`` bytes in all of the text arrays; a longer row is a run of its own.
+
+    Between two runs Arrow gives back what the one before has used, so that pieces don't add up in reused workers.
+    """
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(t), 0), np.int64) for t in texts)
+    start, total = 0, 0
+    for row, size in enumerate(sizes):
+        if row > start and total + size > most:
+            yield start, row - start
+            pa.default_memory_pool().release_unused()
+            start, total = row, 0
+        total += size
+    if start < len(texts[0]):
+        yield start, len(texts[0]) - start
+        pa.default_memory_pool().release_unused()
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches ``flat[starts[i]:starts[i] + sizes[i]]`` one after the other."""
     if not len(sizes):

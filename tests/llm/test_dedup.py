@@ -113,3 +113,28 @@ def test_words_and_hashes():
     many = pa.array([f"{i:0{1 + i % 23}d}" for i in range(20000)])
     assert len(set(hashed(many).tolist())) == len(set(many.to_pylist()))
     assert (hashed(many.slice(77, 9)) == hashed(many)[77:86]).all()
+
+
+def test_estimate_and_bands_together_keep_the_stated_chance():
+    """A pair at the threshold is lost by the bands or by the estimate with a chance of about 1e-5 in all."""
+    import math
+
+    for threshold in (0.8, 0.85):
+        bands = (1 - threshold ** minhash.band_rows(threshold)) ** minhash.BANDS
+        below = 0.5 * math.erfc(minhash._MARGIN / math.sqrt(2))
+        assert bands + below <= 2 * minhash._MISSED
+
+
+def test_pieces_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from flowlens.llm.tokens import runs
+
+    texts = pa.array(["x" * 400_000, None, "", "y" * 1_900_000, "z" * 5_000_000, "w"] + ["v" * 130_000] * 2000)
+    cut = list(runs([texts], minhash.PIECE_BYTES))
+    assert [a for a, _ in cut] == [sum(n for _, n in cut[:k]) for k in range(len(cut))] and sum(n for _, n in cut) == len(texts)
+    for a, n in cut:
+        size = sum(len(t or "") for t in texts.slice(a, n).to_pylist())
+        assert size <= minhash.PIECE_BYTES or n == 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["a"] * 5000)], names=["id", "text"])
+    assert [p.num_rows for p in minhash._slices(batch, 1)] == [minhash.PIECE_ROWS] * 5
