@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from flowlens.llm.words import hashed, plain, split_words
 
 #: Text bytes that are encoded at a time, and cached stretches of text in a worker (about 40 bytes each).
-PIECE_BYTES, CACHED = 8_000_000, 2_000_000
+PIECE_BYTES, CACHED = 2_000_000, 2_000_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = "!#$%&*,.:;?|"
 #: White space other than one blank or line feed between two other characters.
@@ -23,15 +23,8 @@ _ODD_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{16
 
 def slices(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` text bytes; a longer text is a run of its own."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
-    start, total = 0, 0
-    for row, size in enumerate(sizes):
-        if row > start and total + size > most:
-            yield batch.slice(start, row - start)
-            start, total = row, 0
-        total += size
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    for start, n in runs([batch.column(text)], most):
+        yield batch.slice(start, n)
 
 
 def runs(texts: list[pa.Array], most: int) -> Iterator[tuple[int, int]]:
