@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators.scores import score_report
-from flowlens.reduce import learners, linear, nets
+from flowlens.reduce import learners, linear, nets, tsne
 from flowlens.reduce.base import Reducer
 from flowlens.reduce.experiment import Experiment
 from flowlens.session import get_session
@@ -60,6 +60,13 @@ def parser() -> argparse.ArgumentParser:
     mds = methods.add_parser("mds", formatter_class=form)
     _without_effect(mds, "--random_state", "--metric", "--n_init", "--max_iter", "--verbose", "--eps", "--n_jobs", "--dissimilarity")
 
+    tsne_ = methods.add_parser("tsne", formatter_class=form)
+    tsne_.add_argument("--perplexity", type=float, default=30.0)
+    tsne_.add_argument("--early_exaggeration", type=float, default=30.0)
+    tsne_.add_argument("--learning_rate", type=float, default=200.0)
+    tsne_.add_argument("--n_iter", type=int, default=1000)
+    _without_effect(tsne_, "--n_iter_without_progress", "--min_grad_norm", "--metric", "--init", "--verbose", "--random_state", "--method", "--angle")
+
     weights = methods.add_parser("weights", formatter_class=form)
     weights.add_argument("--bin_ae_path", help="model path with %%s for the weight")
     weights.add_argument("--bin_ae_weight", nargs="+", default=[])
@@ -73,7 +80,7 @@ def _without_effect(parser: argparse.ArgumentParser, *options: str) -> None:
 
     class Refused(argparse.Action):
         def __call__(self, parser, namespace, values, option_string=None):
-            parser.error(f"{option_string} has no effect on classical scaling; leave it out")
+            parser.error(f"{option_string} has no effect on this method; leave it out")
 
     for option in options:
         parser.add_argument(option, action=Refused, dest="refused" + option, help="not supported")
@@ -86,6 +93,8 @@ def make_reducer(args: argparse.Namespace) -> Reducer:
         return linear.LdaReducer(args.size, categories=args.categories)
     if args.method == "mds":
         return linear.MdsReducer(args.size)
+    if args.method == "tsne":
+        return tsne.TsneReducer(args.size, args.perplexity, args.early_exaggeration, args.learning_rate, args.n_iter)
     # mini-batches of 1000 rows within every task, 1500 passes, unless --train says otherwise
     training = {"steps": 1500, "batch_size": 1000, **_training(args.train)}
     return NET_METHODS[args.method](
@@ -101,7 +110,7 @@ def _training(options: dict) -> dict:
 
 def run_experiment(args: argparse.Namespace, data: DataFrame, classifiers=None) -> DataFrame:
     """Fit (or load), score both spaces and, for nets with a label head, the head itself; long score table."""
-    runs = 1 if args.method in ("pca", "lda", "mds") else args.number
+    runs = 1 if args.method in ("pca", "lda", "mds", "tsne") else args.number
     trial = Experiment(make_reducer(args), runs, classifiers).fit_or_load(data, getattr(args, "model_path", None))
     scores = trial.scores(data)
     if trial.searches:

@@ -9,10 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.functions.vectors import argmax, list_column, project
-from flowlens.operators import classification, knn, landmarks, scores as reports
+from flowlens.operators import classification, hashed, knn, landmarks, scores as reports
 from flowlens.plans.registry import query, r6, round_sql, rounded
 from flowlens.plans.tables import flows, matrix, oracle
-from flowlens.reduce import base, experiment, learners, linear, nets, sums
+from flowlens.reduce import base, experiment, learners, linear, nets, sums, tsne
 from flowlens.session import work_path, written
 from flowlens.sources import stores
 
@@ -79,15 +79,24 @@ def landmark_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(data.select("row_id", F.inline(cells)), ["d2"])
 
 
-@query("knn_exact", oracle(f"""
+_NEAREST = oracle(f"""
 SELECT row_id, neighbour, CAST(r0 AS INT) AS rank, {round_sql('d2', 'd2')} FROM (
   SELECT x.row_id, y.row_id AS neighbour, d2, row_number() OVER (PARTITION BY x.row_id ORDER BY d2, y.row_id) - 1 AS r0
   FROM matrix x, matrix y, LATERAL (SELECT list_sum(list_transform(list_zip(x.features, y.features),
-    lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2) d WHERE x.row_id <> y.row_id) r WHERE r0 < 10""", "matrix"))
+    lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2) d WHERE x.row_id <> y.row_id) r WHERE r0 < 10""", "matrix")
+
+
+@query("knn_exact", _NEAREST)
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.exact_knn(matrix(spark, sf_dir), 10), ["d2"])
 
 
+@query("knn_hashed", _NEAREST)
+def knn_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to a bucket of rows nothing is missed; larger tables are held to a recall in the tests."""
+    return rounded(hashed.hashed_knn(matrix(spark, sf_dir), 10), ["d2"])
+
+
 @query("knn_affinity")
 def knn_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn_affinity(matrix(spark, sf_dir), perplexity=10.0)
@@ -139,6 +148,13 @@ def mds_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split_columns(linear.MdsReducer(2).fit(data).transform(data), "embedding", 2)
 
 
+@query("tsne_embed")
+def tsne_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All splits, since only fitted rows have a place."""
+    data = matrix(spark, sf_dir)
+    return _split_columns(tsne.TsneReducer(2).fit(data).transform(data), "embedding", 2)
+
+
 # two columns have principal axes in closed form
 _PLANE = """
 WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS u, CAST(l_extendedprice AS DOUBLE) / 1000 AS v FROM lineitem),

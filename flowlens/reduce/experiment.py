@@ -113,8 +113,8 @@ class Experiment:
         self.models: list[ReducerModel] = []
 
     def fit(self, data: DataFrame) -> Experiment:
-        """Networks train all runs in the same passes; other reducers fit run by run. MDS sees all splits."""
-        train = data if self.reducer.name == "mds" else data.where("split = 'train'")
+        """Networks train all runs in the same passes; other reducers fit run by run. Maps without a formula see all splits."""
+        train = data if self.reducer.name in ("mds", "tsne") else data.where("split = 'train'")
         if hasattr(self.reducer, "fit_runs"):
             self.models = self.reducer.fit_runs(train, self.runs)
         else:

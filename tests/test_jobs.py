@@ -88,6 +88,7 @@ def test_reduce_job(spark, csv_dir, capsys, tmp_path, argv):
 def test_command_lines_parse():
     parse = job.parser().parse_args
     assert job.make_reducer(parse(["mds", "data"])).name == "mds"
+    assert job.make_reducer(parse(["tsne", "--n_iter", "40", "data"])).steps == 40
     with pytest.raises(SystemExit):
         parse(["mds", "--n_init", "4", "data"])
     net = job.make_reducer(parse(["--train", '{"epochs": 3, "batch_size": 10}', "bin_ae", "--reconstruct_weight",
