@@ -169,9 +169,13 @@ _PLANE_SQL = f"""{_PLANE}
 SELECT l_orderkey, l_linenumber, {round_sql('(u - mu) * p + (v - mv) * q', 'e0')} FROM x, signed"""
 
 
-def _plane(spark: SparkSession, sf_dir: str, reducer) -> DataFrame:
-    data = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.array(
+def _two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.array(
         F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000).alias("features"))
+
+
+def _plane(spark: SparkSession, sf_dir: str, reducer) -> DataFrame:
+    data = _two_columns(spark, sf_dir)
     placed = reducer.fit(data).transform(data)
     return rounded(placed.select("l_orderkey", "l_linenumber", F.get("embedding", F.lit(0)).alias("e0")), ["e0"])
 
@@ -186,6 +190,30 @@ def mds_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plane(spark, sf_dir, linear.MdsReducer(1))
 
 
+@query("feature_weights_plane", f"""{_PLANE}
+SELECT 0 AS run, f.feature, f.dim, {round_sql("CASE f.k WHEN 0 THEN p WHEN 1 THEN q END", "value")}
+FROM signed, (SELECT unnest(['f0', 'f1']) AS feature, unnest([0, 1]) AS k, CAST(0 AS INT) AS dim) f""")
+def feature_weights_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the first principal axis of two columns."""
+    model = linear.PcaReducer(1).fit(_two_columns(spark, sf_dir))
+    return rounded(model.weights(spark).where("dim = 0"), ["value"])
+
+
+_THIRDS = "CASE WHEN l_orderkey % 5 = 0 THEN 'test' WHEN l_orderkey % 5 = 1 THEN 'val' ELSE 'train' END"
+
+
+@query("embedding_store_plane", f"""{_PLANE}
+SELECT l_orderkey * 8 + l_linenumber AS row_id, {_THIRDS} AS split, {round_sql('(u - mu) * p + (v - mv) * q', 'e0')} FROM x, signed""")
+def embedding_store_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all rows, written and read back split by split."""
+    data = _two_columns(spark, sf_dir).select(
+        F.expr("l_orderkey * 8 + l_linenumber").alias("row_id"), F.expr(_THIRDS).alias("split"), "features")
+    path = work_path(spark, "embeddings")
+    stores.save_embeddings(linear.MdsReducer(1).fit(data).transform(data), path)
+    parts = [stores.load_embeddings(spark, path, split) for split in ("train", "val", "test")]
+    return rounded(_split_columns(reduce(DataFrame.unionByName, parts), "embedding", 1), ["e0"])
+
+
 # ---- classifiers and experiments ------------------------------------------------------------------
 
 def _vectors(spark: SparkSession, sf_dir: str, label: str = "label") -> DataFrame:
@@ -249,7 +277,7 @@ def compare_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trial.fit(data).scores(data)
 
 
-def _seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with a class that follows from the month, the only feature that varies; a principal axis keeps it whole."""
     month = F.month("o_orderdate")
     category = F.least(month, F.lit(10)) - 1
@@ -259,12 +287,12 @@ def _seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'test' WHEN o_orderkey % 5 = 1 THEN 'val' ELSE 'train' END").alias("split"))
 
 
-_SEASONS = """WITH seasons AS (SELECT o_orderkey AS row_id, CAST(least(month(o_orderdate), 10) - 1 AS INT) AS category,
+SEASONS = """WITH seasons AS (SELECT o_orderkey AS row_id, CAST(least(month(o_orderdate), 10) - 1 AS INT) AS category,
   CASE WHEN o_orderkey % 5 = 0 THEN 'test' WHEN o_orderkey % 5 = 1 THEN 'val' ELSE 'train' END AS split FROM orders)"""
 _AVERAGES = ", ".join(f"'{m}'" for m in classification.AVERAGES)
 
 
-@query("compare_spaces_rule", f"""{_SEASONS},
+@query("compare_spaces_rule", f"""{SEASONS},
 found AS (SELECT DISTINCT split, category FROM seasons),
 metrics AS (SELECT 'binary' AS task, split, unnest(['accuracy', 'precision', 'recall', 'f1', 'far']) AS metric FROM (SELECT DISTINCT split FROM found)
   UNION ALL SELECT 'category', split, unnest([{_AVERAGES}]) FROM (SELECT DISTINCT split FROM found)
@@ -273,26 +301,26 @@ SELECT 0 AS run, 'Decision Tree' AS classifier, task, space, split, metric, CASE
 FROM metrics, (SELECT unnest(['original', 'reduced']) AS space)""")
 def compare_spaces_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole comparison, grid searches included, where the classes follow from a feature: no tree may err."""
-    data = written(_seasons(spark, sf_dir), "seasons")
+    data = written(seasons(spark, sf_dir), "seasons")
     trial = experiment.Experiment(linear.PcaReducer(1))
     return rounded(trial.fit(data).scores(data), ["value"])
 
 
-@query("tree_search_rule", f"{_SEASONS} SELECT row_id, split, category AS truth, category AS prediction FROM seasons")
+@query("tree_search_rule", f"{SEASONS} SELECT row_id, split, category AS truth, category AS prediction FROM seasons")
 def tree_search_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(_with_folds(_seasons(spark, sf_dir), "category"), "seasons")
+    rows = written(_with_folds(seasons(spark, sf_dir), "category"), "seasons")
     return _predicted(learners.decision_tree_gridsearch("y").fit(rows.where("split = 'train'")), rows)
 
 
-@query("tree_rule", f"{_SEASONS} SELECT row_id, split, category AS truth, category AS prediction FROM seasons")
+@query("tree_rule", f"{SEASONS} SELECT row_id, split, category AS truth, category AS prediction FROM seasons")
 def tree_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_folds(_seasons(spark, sf_dir), "category")
+    rows = _with_folds(seasons(spark, sf_dir), "category")
     return _predicted(learners.decision_tree("y").fit(rows.where("split = 'train'")), rows)
 
 
-@query("logistic_rule", f"{_SEASONS} SELECT row_id, split, CAST(category <> 9 AS INT) AS truth, CAST(category <> 9 AS INT) AS prediction FROM seasons")
+@query("logistic_rule", f"{SEASONS} SELECT row_id, split, CAST(category <> 9 AS INT) AS truth, CAST(category <> 9 AS INT) AS prediction FROM seasons")
 def logistic_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(_with_folds(_seasons(spark, sf_dir), "label"), "seasons")
+    rows = written(_with_folds(seasons(spark, sf_dir), "label"), "seasons")
     train = rows.where("split = 'train'")
     return _predicted(learners.built(learners.REGISTRY["Logistic Regression"], "y", train).fit(train), rows)
 

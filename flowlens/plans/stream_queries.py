@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators.neighbours import EpsNeighbourClassifier
+from flowlens.plans.learner_queries import SEASONS, seasons
 from flowlens.plans.neighbour_queries import _BEST
 from flowlens.plans.registry import query, r6, round_sql, rounded
 from flowlens.plans.tables import EPS, flow_map, flows, matrix, oracle
@@ -106,6 +107,20 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_epochs(spark, path).drop("epoch")
 
 
+@query("stream_score_rule", f"""{SEASONS.replace("CAST(least", "month(o_orderdate) AS m, CAST(least")}
+SELECT row_id, CAST(category <> 9 AS INT) AS label, {round_sql("m - (SELECT avg(m) FROM seasons WHERE split = 'train')", "x")}, 0.0::DOUBLE AS y,
+  CAST(category <> 9 AS INT) AS cats_ae_pred, CAST(category <> 9 AS INT) AS original_pred FROM seasons""")
+def stream_score_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving orders whose class follows from the month: the map is the month, and neither tree may err."""
+    data = seasons(spark, sf_dir)
+    train = data.where("split = 'train'")
+    scorer = scoring.FlowScorer.fit(linear.PcaReducer(2).fit(train), train)
+    path = work_path(spark, "scored-stream")
+    scored = scorer.transform(_replayed(data, "row_id")).select("row_id", "label", "x", "y", "cats_ae_pred", "original_pred")
+    sinks.drain(scored, lambda batch, epoch: sinks.write_epoch(batch, path, epoch))
+    return rounded(sinks.read_epochs(spark, path).drop("epoch"), ["x", "y"])
+
+
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = flow_map(spark, sf_dir)
     train = base.where("split = 'train'").select("x", "y", "category")
