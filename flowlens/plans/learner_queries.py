@@ -253,8 +253,7 @@ def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("linear_svc_gridsearch")
 def linear_svc_gridsearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    train = written(rows.where("split = 'train'"), "train")
-    return _predicted(learners.linear_svc_gridsearch("y", train.count()).fit(train), rows)
+    return _predicted(learners.linear_svc_gridsearch("y").fit(rows.where("split = 'train'")), rows)
 
 
 @query("logistic_gridsearch")
@@ -325,6 +324,14 @@ def logistic_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(learners.built(learners.REGISTRY["Logistic Regression"], "y", train).fit(train), rows)
 
 
+@query("linear_svc_rule", f"{SEASONS} SELECT row_id, split, CAST(category <> 9 AS INT) AS truth, CAST(category <> 9 AS INT) AS prediction FROM seasons")
+def linear_svc_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search where a threshold on one feature parts the classes."""
+    rows = written(_with_folds(seasons(spark, sf_dir), "label"), "seasons")
+    train = rows.where("split = 'train'")
+    return _predicted(learners.built(learners.REGISTRY["SVM"], "y", train).fit(train), rows)
+
+
 @query("compare_spaces_clustering")
 def compare_spaces_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = matrix(spark, sf_dir)

@@ -12,12 +12,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from flowlens.reduce.svm import SquaredHingeSvc, SvmSearch
 from flowlens.session import drop_written, shared_path, written
 
 # The searched depths and leaf sizes.
@@ -136,16 +137,11 @@ def logistic_gridsearch(label: str, rows: int, cs=C_GRID, folds: int = 3, parall
     return _search(model, grid, label, folds, parallelism)
 
 
-def linear_svc_gridsearch(label: str, rows: int, cs=C_GRID, classes: int = 2, folds: int = 3,
-                          parallelism: int = 4) -> CrossValidator:
-    """Linear SVM; with more than two classes one per class against the rest."""
-    if classes == 2:
-        svm = LinearSVC(labelCol=label, featuresCol="vec", maxIter=30, tol=1e-4)
-        grid = ParamGridBuilder().addGrid(svm.regParam, [1 / (c * rows) for c in cs]).build()
-        return _search(svm, grid, label, folds, parallelism)
-    rest = OneVsRest(labelCol=label, featuresCol="vec", classifier=LinearSVC(labelCol=label, featuresCol="vec"))
-    machines = [LinearSVC(labelCol=label, featuresCol="vec", regParam=1 / (c * rows), maxIter=30, tol=1e-4) for c in cs]
-    return _search(rest, [{rest.classifier: m} for m in machines], label, folds, parallelism)
+def linear_svc_gridsearch(label: str, cs=C_GRID, classes: int = 2, folds: int = 3) -> CrossValidator:
+    """Linear SVM with the squared hinge; with more than two classes one per class against the rest. See ``SvmSearch``."""
+    svc = SquaredHingeSvc(labelCol=label, featuresCol="vec", classes=classes)
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    return SvmSearch(estimator=svc, estimatorParamMaps=[{svc.C: c} for c in cs], evaluator=evaluator, numFolds=folds, foldCol=FOLD)
 
 
 def kmeans(label: str, k: int = 8) -> Estimator:
@@ -157,8 +153,8 @@ def logistic_regression(label: str, train: DataFrame) -> Estimator:
 
 
 def linear_svm(label: str, train: DataFrame) -> Estimator:
-    stats = train.agg(F.count("*").alias("n"), F.max(label).alias("top")).first()
-    return linear_svc_gridsearch(label, stats.n, cs=C_GRID, classes=max(2, int(stats.top or 0) + 1))
+    top = train.agg(F.max(label)).first()[0]
+    return linear_svc_gridsearch(label, C_GRID, max(2, int(top or 0) + 1))
 
 
 #: By default only trees are compared; the others can be asked for by name.
@@ -186,8 +182,6 @@ def search_table(model: CrossValidatorModel, spark: SparkSession) -> DataFrame:
 
 
 def _shown(value) -> str:
-    if isinstance(value, LinearSVC):
-        return f"regParam {value.getRegParam():g}"
     return f"{value:g}" if isinstance(value, float) else str(value)
 
 

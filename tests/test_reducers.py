@@ -194,7 +194,7 @@ def test_linear_searches_separate(blobs, search, classes):
         "row_id", array_to_vector("features").alias("vec"), F.col(label).cast("double").alias("y"),
         learners.fold_column(label="category").alias("fold"))
     maker = learners.logistic_gridsearch("y", 180, [1.0]) if search == "logistic" else (
-        learners.linear_svc_gridsearch("y", 180, [1.0], classes))
+        learners.linear_svc_gridsearch("y", [1.0], classes))
     out = maker.fit(df).transform(df)
     assert out.where(F.col("prediction") == F.col("y")).count() > 165
 
