@@ -18,7 +18,7 @@ from flowlens.reduce.base import load_models
 from flowlens.schema import CATEGORY_LABELS
 from flowlens.session import written, get_session, work_path
 from flowlens.sources.dataset import FlowDataset
-from flowlens.sources.stores import SCORED_COLUMNS, scored_flows
+from flowlens.sources.stores import scored_flows
 from flowlens.streaming import replay, sinks, windows
 from flowlens.streaming.scoring import FlowScorer
 
@@ -65,13 +65,11 @@ def flow_details(spark: SparkSession, path: str, selected: DataFrame, radius: fl
 
 
 def replay_job(spark: SparkSession, path: str, keep: int = 200, every: str = "10 milliseconds",
-               seek: int | None = None, available_now: bool = False, output: str | None = None):
-    """Replay the flows; every trigger refreshes the last-``keep`` window below ``output``."""
+               seek: int | None = None, per_tick: int = 1, output: str | None = None) -> tuple[replay.Replay, str]:
+    """A replay of the flows, to be played; every tick refreshes the last-``keep`` window below ``output``."""
     output = output or work_path(spark, "flow-map")
-    stream = replay.replay_stream(spark, f"{path}/flows", seek=seek).select(*SCORED_COLUMNS)
-    query = sinks.start(stream, windows.keep_last_n(output, keep, "index", "category", PREDICTIONS),
-                        available_now=available_now, every=every)
-    return query, output
+    keep_last = windows.keep_last_n(output, keep, "index", "category", PREDICTIONS)
+    return replay.Replay(spark, f"{path}/flows", keep_last, per_tick, every, seek), output
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -85,6 +83,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     r.add_argument("path")
     r.add_argument("--keep", type=int, default=200, help="flows to keep")
     r.add_argument("--every", default="10 milliseconds", help="pace of new flows")
+    r.add_argument("--per-tick", type=int, default=1, help="flows that come at a time")
     r.add_argument("--seek", type=int, help="start at this flow number")
     e = tasks.add_parser("explain")
     e.add_argument("path")
@@ -96,9 +95,9 @@ def main(argv: Sequence[str] | None = None) -> None:
         dataset = FlowDataset.load(spark, args.capture, args.train, args.test)
         prepare(dataset, load_models(spark, args.model_path)[args.run], args.output)
     elif args.task == "replay":
-        query, output = replay_job(spark, args.path, args.keep, args.every, args.seek)
+        player, output = replay_job(spark, args.path, args.keep, args.every, args.seek, args.per_tick)
         print(f"window tables below {output}/window")
-        query.awaitTermination()
+        player.play().awaitTermination()
     else:
         selected = spark.createDataFrame([(i,) for i in args.index], "index long")
         flow_details(spark, args.path, selected, args.radius).show(len(args.index), truncate=False, vertical=True)

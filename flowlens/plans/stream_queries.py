@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators.neighbours import EpsNeighbourClassifier
+from flowlens.operators.split import assign_index
 from flowlens.plans.learner_queries import SEASONS, seasons
 from flowlens.plans.neighbour_queries import _BEST
 from flowlens.plans.registry import query, r6, round_sql, rounded
@@ -13,15 +14,24 @@ from flowlens.reduce import linear
 from flowlens.session import work_path
 from flowlens.streaming import replay, scoring, sinks, windows
 
-_FILES = 4
+_PER_TICK = 100_000
+_NUMBER = "replay number"
 _PREDICTIONS = ["pred_binary", "pred_attack"]
 
 
-def _replayed(df: DataFrame, index: str) -> DataFrame:
-    """The table written as a replay and opened as a stream."""
+def _replayed(df: DataFrame, index: str) -> tuple[str, int]:
+    """The table numbered from 0 and written as a replay: its path and number of flows."""
     spark, path = df.sparkSession, work_path(df.sparkSession, "replay")
-    replay.write_replay(df, path, index, _FILES)
-    return replay.replay_stream(spark, path, index=index)
+    replay.write_replay(assign_index(df, [index], _NUMBER), path, _NUMBER)
+    return path, spark.read.parquet(path).count()
+
+
+def _drained(df: DataFrame, index: str, write, transform=lambda stream: stream, mode: str = "append") -> None:
+    """All ticks of the table through ``transform``; large tables in ticks of at most ``_PER_TICK`` flows, small ones in a few."""
+    path, flows = _replayed(df, index)
+    per_tick = max(1, min(_PER_TICK, -(-flows // 3)))
+    stream = replay.replay_stream(df.sparkSession, path, per_tick, index=_NUMBER).drop(_NUMBER)
+    replay.drain(transform(stream), write, flows, per_tick, mode)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +42,15 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_replay", oracle("SELECT flow_id, gold_category AS category, pred_binary FROM flows", "flows"))
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tick reads the row groups of its own flows."""
     path = work_path(spark, "replayed")
-    stream = _replayed(_scored(spark, sf_dir), "flow_id").select("flow_id", "category", "pred_binary")
-    sinks.drain(stream, lambda batch, epoch: sinks.write_epoch(batch, path, epoch))
+    table, count = _replayed(_scored(spark, sf_dir), "flow_id")
+    per_tick = max(1, min(_PER_TICK, -(-count // 3)))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        sinks.write_epoch(batch.select("flow_id", "category", "pred_binary"), path, epoch)
+
+    replay.drain(replay.ticks(spark, per_tick, index=_NUMBER), replay.each_tick(table, write, _NUMBER), count, per_tick)
     return sinks.read_epochs(spark, path).drop("epoch")
 
 
@@ -54,8 +70,7 @@ def stream_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _last_n(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
     path = work_path(spark, "last-n")
-    stream = _replayed(_scored(spark, sf_dir), "flow_id")
-    sinks.drain(stream, windows.keep_last_n(path, n, "flow_id", "category", _PREDICTIONS))
+    _drained(_scored(spark, sf_dir), "flow_id", windows.keep_last_n(path, n, "flow_id", "category", _PREDICTIONS))
     return sinks.latest_epoch(spark, f"{path}/window")
 
 
@@ -72,8 +87,8 @@ GROUP BY p.predictor, c.category"""
 @query("stream_confusion", oracle(_matrix_sql("true"), "flows"))
 def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "confusion")
-    counts = windows.confusion_stream(_replayed(_scored(spark, sf_dir), "flow_id"), "category", _PREDICTIONS)
-    sinks.drain(counts, sinks.write_newest(path), "complete")
+    _drained(_scored(spark, sf_dir), "flow_id", sinks.write_newest(path),
+             lambda stream: windows.confusion_stream(stream, "category", _PREDICTIONS), "complete")
     return windows.zero_filled(sinks.latest_epoch(spark, path))
 
 
@@ -87,9 +102,8 @@ SELECT date_trunc('hour', ts) AS window_start, predictor, category, pred, count(
 GROUP BY ALL""", "flows"))
 def stream_confusion_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "confusion-windows")
-    stream = _replayed(_scored(spark, sf_dir), "flow_id")
-    counts = windows.windowed_confusion_stream(stream, "ts", "category", _PREDICTIONS)
-    sinks.drain(counts, lambda batch, epoch: sinks.write_epoch(batch, path, epoch), "update")
+    _drained(_scored(spark, sf_dir), "flow_id", lambda batch, epoch: sinks.write_epoch(batch, path, epoch),
+             lambda stream: windows.windowed_confusion_stream(stream, "ts", "category", _PREDICTIONS), "update")
     keys = ["window_start", "predictor", "category", "pred"]
     newest = sinks.last_value_per_key(sinks.read_epochs(spark, path), keys, "n")
     return newest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -102,8 +116,8 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = data.where("split = 'train'")
     scorer = scoring.FlowScorer.fit(linear.PcaReducer(2).fit(train), train)
     path = work_path(spark, "scored-stream")
-    scored = scorer.transform(_replayed(data, "row_id")).select("row_id", "label", "x", "y", "cats_ae_pred", "original_pred")
-    sinks.drain(scored, lambda batch, epoch: sinks.write_epoch(batch, path, epoch))
+    _drained(data, "row_id", lambda batch, epoch: sinks.write_epoch(batch, path, epoch), lambda stream: scorer.transform(
+        stream).select("row_id", "label", "x", "y", "cats_ae_pred", "original_pred"))
     return sinks.read_epochs(spark, path).drop("epoch")
 
 
@@ -116,8 +130,8 @@ def stream_score_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = data.where("split = 'train'")
     scorer = scoring.FlowScorer.fit(linear.PcaReducer(2).fit(train), train)
     path = work_path(spark, "scored-stream")
-    scored = scorer.transform(_replayed(data, "row_id")).select("row_id", "label", "x", "y", "cats_ae_pred", "original_pred")
-    sinks.drain(scored, lambda batch, epoch: sinks.write_epoch(batch, path, epoch))
+    _drained(data, "row_id", lambda batch, epoch: sinks.write_epoch(batch, path, epoch), lambda stream: scorer.transform(
+        stream).select("row_id", "label", "x", "y", "cats_ae_pred", "original_pred"))
     return rounded(sinks.read_epochs(spark, path).drop("epoch"), ["x", "y"])
 
 
@@ -126,8 +140,7 @@ def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = base.where("split = 'train'").select("x", "y", "category")
     model = EpsNeighbourClassifier().fit(train).prepare(EPS)
     path = work_path(spark, "explained")
-    stream = _replayed(base.where("split = 'test'").drop("split"), "flow_id")
-    sinks.drain(stream, scoring.explain_batches(model, EPS, path, list(range(10))))
+    _drained(base.where("split = 'test'").drop("split"), "flow_id", scoring.explain_batches(model, EPS, path, list(range(10))))
     return sinks.read_epochs(spark, path).drop("epoch")
 
 

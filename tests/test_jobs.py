@@ -115,9 +115,9 @@ def test_weights_job_and_flow_map(spark, csv_dir, dataset, capsys, tmp_path):
     flows = spark.read.parquet(f"{out}/flows")
     assert flows.columns == stores.SCORED_COLUMNS
     assert sorted(r["index"] for r in flows.collect()) == list(range(200))
-    query, window = flowmap.replay_job(spark, out, keep=50, available_now=True)
-    query.awaitTermination()
-    from flowlens.streaming import sinks
+    player, window = flowmap.replay_job(spark, out, keep=50, per_tick=80)
+    from flowlens.streaming import replay, sinks
+    replay.drain(replay.ticks(spark, 80), replay.each_tick(player.path, player.each), 200, 80)
     kept = sinks.latest_epoch(spark, f"{window}/window")
     assert sorted(r["index"] for r in kept.collect()) == list(range(150, 200))
     selected = spark.createDataFrame([(0,), (150,)], "index long")

@@ -1,5 +1,8 @@
 """Streams end where batch does, survive a restart, and keep index order."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators.neighbours import EpsNeighbourClassifier
@@ -14,54 +17,77 @@ def scored(spark, n=400):
         F.pmod(i * 3, F.lit(2)).cast("int").alias("a"), F.pmod(i, F.lit(2)).cast("int").alias("b"))
 
 
-def test_files_come_in_index_order_and_seek(spark):
-    path = work_path(spark, "t-replay")
-    replay.write_replay(scored(spark), path, files=5)
-    seen = []
+@pytest.mark.parametrize("files", [1, 5])
+@pytest.mark.parametrize("per_tick, seek", [(1, 396), (90, None), (90, 300)])
+def test_each_tick_has_the_next_flows(spark, files, per_tick, seek):
+    """Two ways to read them, whatever the files are."""
+    path, first = work_path(spark, "t-replay"), seek or 0
+    replay.write_replay(scored(spark), path, files=files)
+    want = [list(range(at, min(at + per_tick, 400))) for at in range(first, 400, per_tick)]
+    for stream, wrap in ((replay.ticks(spark, per_tick, seek), lambda f: replay.each_tick(path, f)),
+                         (replay.replay_stream(spark, path, per_tick, seek), lambda f: f)):
+        seen = []
+        replay.drain(stream, wrap(lambda batch, epoch: seen.append(sorted(r["index"] for r in batch.collect()))), 400 - first, per_tick)
+        assert seen == want
+
+
+def test_a_tick_reads_the_row_groups_of_its_range(spark):
+    path, plans = work_path(spark, "t-replay"), []
+    replay.write_replay(scored(spark), path)
+    replay.drain(replay.ticks(spark, 3, 7), replay.each_tick(path, lambda b, e: plans.append(b._jdf.queryExecution().toString())), 3, 3)
+    assert "GreaterThanOrEqual(index,7), LessThanOrEqual(index,9)" in plans[0]
+    stream = replay.replay_stream(spark, path, 3)
+    assert "BroadcastHashJoin" in _last_plan(stream) and "SortMergeJoin" not in _last_plan(stream)
+
+
+def _last_plan(stream):
+    query = sinks.start(stream, lambda b, e: b.count(), available_now=True)
+    query.awaitTermination()
+    return query._jsq.explainInternal(False)
 
-    def each(batch, epoch):
-        row = batch.agg(F.min("index").alias("lo"), F.max("index").alias("hi")).first()
-        if row.lo is not None:
-            seen.append((row.lo, row.hi))
 
-    sinks.drain(replay.replay_stream(spark, path), each)
-    assert seen[0][0] == 0 and seen[-1][1] == 399 and all(a[1] + 1 == b[0] for a, b in zip(seen, seen[1:]))
-    seen.clear()
-    sinks.drain(replay.replay_stream(spark, path, seek=300), each)
-    assert seen[0][0] == 300 and seen[-1][1] == 399
+def test_odd_ticks(spark):
+    for per_tick in (0, replay.MOST_PER_TICK + 1):
+        with pytest.raises(ValueError):
+            replay.ticks(spark, per_tick)
+    path, seen = work_path(spark, "t-replay"), []
+    replay.write_replay(scored(spark, 0), path)
+    replay.drain(replay.ticks(spark, 5), replay.each_tick(path, lambda b, e: seen.append(b.count())), 5, 5)
+    assert seen == [0]
 
 
-def test_pause_and_resume_lose_nothing(spark):
+def test_pause_jump_and_resume_lose_nothing(spark):
     path, out = work_path(spark, "t-replay"), work_path(spark, "t-out")
     replay.write_replay(scored(spark), path, files=4)
-    player = replay.Replay(spark, path, lambda b, e: sinks.write_epoch(b, out, e))
-    player.play().processAllAvailable()
-    player.pause()
-    assert player.query is None
-    more = work_path(spark, "t-more")
-    replay.write_replay(scored(spark, 500).where("index >= 400"), more, files=1)
-    spark.read.parquet(more).write.mode("append").parquet(path)
-    player.play("50 milliseconds").processAllAvailable()
-    player.pause()
+    player = replay.Replay(spark, path, lambda b, e: sinks.write_epoch(b, out, e), per_tick=60)
+    for wait in (100, 300):  # flows that have come when it is paused
+        query = player.play()
+        until = time.time() + 60
+        while time.time() < until:
+            if any((p["batchId"] + 1) * 60 >= wait for p in query.recentProgress):
+                break
+            time.sleep(0.05)
+        player.pause()
+        assert player.query is None
     got = [r["index"] for r in sinks.read_epochs(spark, out).orderBy("index").collect()]
-    assert got == list(range(500))
+    assert len(got) >= 300 and got == list(range(len(got)))
+    before = player.checkpoint
+    player.jump(390)
+    assert player.checkpoint != before and player.seek == 390
 
 
 def test_last_n_across_a_restart(spark):
     path, out, checkpoint = (work_path(spark, f"t-{k}") for k in ("replay", "window", "checkpoint"))
     replay.write_replay(scored(spark, 300), path, files=2)
 
-    def run():
-        stream = replay.replay_stream(spark, path)
-        sinks.drain(stream, windows.keep_last_n(out, 50, "index", "category", ["a", "b"]), checkpoint=checkpoint)
+    def run(flows):
+        stream = replay.replay_stream(spark, path, 30)
+        replay.drain(stream, windows.keep_last_n(out, 50, "index", "category", ["a", "b"]), flows, 30, checkpoint=checkpoint)
         return sinks.latest_epoch(spark, f"{out}/window")
 
-    assert sorted(r["index"] for r in run().collect()) == list(range(250, 300))
-    more = work_path(spark, "t-more")
-    replay.write_replay(scored(spark, 330).where("index >= 300"), more, files=1)
-    spark.read.parquet(more).write.mode("append").parquet(path)
-    window = run()
-    assert sorted(r["index"] for r in window.collect()) == list(range(280, 330))
+    assert sorted(r["index"] for r in run(90).collect()) == list(range(40, 90))
+    window = run(210)
+    assert sorted(r["index"] for r in window.collect()) == list(range(250, 300))
     matrix = windows.window_confusion(window, "category", ["a", "b"])
     assert matrix.groupBy("predictor").agg(F.sum(F.col("normal") + F.col("attack")).alias("n")).where(
         "n = 50").count() == 2
@@ -74,7 +100,7 @@ def test_stream_explanations_equal_batch(spark):
     model = EpsNeighbourClassifier().fit(points)
     path, out = work_path(spark, "t-replay"), work_path(spark, "t-out")
     replay.write_replay(points, path, "flow_id", 2)
-    sinks.drain(replay.replay_stream(spark, path, index="flow_id"), scoring.explain_batches(model, 0.1, out))
+    replay.drain(replay.replay_stream(spark, path, 100, index="flow_id"), scoring.explain_batches(model, 0.1, out), 200, 100)
     names = ["flow_id", "neighbours", "predicted"]
     streamed = sinks.read_epochs(spark, out).select(names).orderBy("flow_id").collect()
     assert streamed == model.explain(points, 0.1).select(names).orderBy("flow_id").collect()
