@@ -4,13 +4,16 @@ The radius join never pairs a point with everything around it. Reference points
 small tile (an eighth of the radius wide by default) with the tile's bounding box; tiles wholly inside the
 ball contribute their class counts, tiles wholly outside are dropped, and only tiles cut by the
 circle are looked up point by point. Copies of a point are one weighted point.
+
+An index can be stored by region. Few query points then read the regions around them only, and the stored side is neither
+shuffled nor built again; many are joined as without storing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.session import written
 
@@ -19,12 +22,21 @@ _SLACK = 1e-9
 # distinct points of one cut tile that share a join key
 _POINTS_PER_KEY = 4096
 _KEY = ["cx", "cy", "sx", "sy"]
+# regions of a stored index: blocks of cells, dealt over folders
+_BLOCK, REGIONS = 8, 64
+# distinct query points that are sent to the stored side: they meet at most 9 refine^2 tiles each, 35 MB in all
+FEW_SPOTS = 1000
 
 
 def _tile(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(width)).cast("long")
 
 
+def _region() -> Column:
+    block = [F.floor(F.col(c) / F.lit(_BLOCK)) for c in ("cx", "cy")]
+    return F.pmod(F.xxhash64(*block), F.lit(REGIONS)).cast("int")
+
+
 def _square(x: Column) -> Column:
     return x * x
 
@@ -39,6 +51,26 @@ class NeighbourIndex:
     eps: float
     points: DataFrame
     tiles: DataFrame | None
+    stored: bool = False
+
+    def save(self, path: str) -> None:
+        """Points and tiles by region, in the order of cells; crowded regions are spread over several files."""
+        if self.tiles is None:
+            raise ValueError("a radius of 0 has no regions to store")
+        spark = self.points.sparkSession
+        for name, table in (("points", self.points), ("tiles", self.tiles)):
+            placed = table.withColumn("region", _region())
+            placed.repartitionByRange("region", "cx", "cy").sortWithinPartitions("region", "cx", "cy").write.mode(
+                "overwrite").partitionBy("region").parquet(f"{path}/{name}")
+        spark.createDataFrame([(self.eps,)], "eps double").write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NeighbourIndex:
+        eps = spark.read.parquet(f"{path}/about").first().eps
+        point = "tx double, ty double, label int, n long, cx long, cy long, sx long, sy long, region int"
+        tile = ("cx long, cy long, sx long, sy long, counts array<struct<label: int, n: long>>, x0 double, x1 double, y0 double, "
+                "y1 double, parts int, region int")
+        return cls(eps, spark.read.schema(point).parquet(f"{path}/points"), spark.read.schema(tile).parquet(f"{path}/tiles"), True)
 
     @classmethod
     def build(cls, train: DataFrame, eps: float, x: str = "x", y: str = "y", label: str = "label",
@@ -46,7 +78,7 @@ class NeighbourIndex:
         if eps < 0:
             raise ValueError("the radius must not be negative")
         points = (
-            _spots(train, x, y, "tx", "ty", F.col(label).alias("label"))
+            _spots(train, x, y, "tx", "ty", F.col(label).cast("int").alias("label"))
             .groupBy("tx", "ty", "label").agg(F.count("*").alias("n"))
         )
         if eps == 0:
@@ -113,26 +145,12 @@ class NeighbourIndex:
         return out.withColumns(extra).drop("qx", "qy", *[f"_n{c}" for c in labels or []])
 
     def _ball_counts(self, spots: DataFrame) -> DataFrame:
-        cell, square = self.eps * (1 + _SLACK), self.eps * self.eps
-        qx, qy = F.col("qx"), F.col("qy")
-        steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-        around = (
-            spots.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-            .select("qx", "qy", (_tile(qx, cell) + F.col("dx")).alias("cx"), (_tile(qy, cell) + F.col("dy")).alias("cy"))
-        )
-        near = _square(F.greatest(F.col("x0") - qx, qx - F.col("x1"), F.lit(0.0))) + _square(
-            F.greatest(F.col("y0") - qy, qy - F.col("y1"), F.lit(0.0))
-        )
-        far = _square(F.greatest(F.abs(qx - F.col("x0")), F.abs(qx - F.col("x1")))) + _square(
-            F.greatest(F.abs(qy - F.col("y0")), F.abs(qy - F.col("y1")))
-        )
-        met = (
-            around.join(self.tiles, ["cx", "cy"])
-            .where(near <= square * (1 + _SLACK))
-            .withColumn("inside", far <= square * (1 - _SLACK))
-        )
-        whole = met.where("inside").select("qx", "qy", F.inline("counts"))
-
+        if self.stored:
+            # a bounded look at the query points; the answer does not depend on which way is taken
+            seen = spots.limit(FEW_SPOTS + 1).collect()
+            if len(seen) <= FEW_SPOTS:
+                return self._few_counts(spots.sparkSession.createDataFrame(seen, "qx double, qy double"))
+        met = self._met(self._around(spots).join(self.tiles, ["cx", "cy"]))
         # tiles with many points are split over several keys; the query row is repeated once per key
         split = self.points.join(self.tiles.select(*_KEY, "parts"), _KEY).withColumn(
             "part", F.pmod(F.xxhash64("tx", "ty", "label"), F.col("parts")).cast("int")
@@ -140,12 +158,40 @@ class NeighbourIndex:
         cut = met.where(~F.col("inside")).select(
             "qx", "qy", *_KEY, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
         )
-        checked = (
-            cut.join(split.select(*_KEY, "part", "tx", "ty", "label", "n"), [*_KEY, "part"])
-            .where(_square(F.col("tx") - qx) + _square(F.col("ty") - qy) <= square)
-            .select("qx", "qy", "label", "n")
+        return self._counted(met, cut.join(split.select(*_KEY, "part", "tx", "ty", "label", "n"), [*_KEY, "part"]))
+
+    def _few_counts(self, spots: DataFrame) -> DataFrame:
+        """The query points go to the regions around them; nothing of the stored side moves."""
+        around = self._around(spots)
+        regions = [r.region for r in around.select(_region().alias("region")).distinct().collect()]  # at most REGIONS
+        near = F.col("region").isin(regions)
+        met = self._met(self.tiles.where(near).join(F.broadcast(around), ["cx", "cy"]))
+        cut = met.where(~F.col("inside")).select("qx", "qy", *_KEY)
+        return self._counted(met, self.points.where(near).join(F.broadcast(cut), _KEY))
+
+    def _around(self, spots: DataFrame) -> DataFrame:
+        """Every spot with each of the nine cells that its ball may reach."""
+        cell, steps = self.eps * (1 + _SLACK), F.array(*[F.lit(d) for d in (-1, 0, 1)])
+        return spots.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(
+            "qx", "qy", (_tile(F.col("qx"), cell) + F.col("dx")).alias("cx"), (_tile(F.col("qy"), cell) + F.col("dy")).alias("cy"))
+
+    def _met(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of a spot and a tile that its ball touches, and whether the tile is inside."""
+        qx, qy, square = F.col("qx"), F.col("qy"), self.eps * self.eps
+        near = _square(F.greatest(F.col("x0") - qx, qx - F.col("x1"), F.lit(0.0))) + _square(
+            F.greatest(F.col("y0") - qy, qy - F.col("y1"), F.lit(0.0))
+        )
+        far = _square(F.greatest(F.abs(qx - F.col("x0")), F.abs(qx - F.col("x1")))) + _square(
+            F.greatest(F.abs(qy - F.col("y0")), F.abs(qy - F.col("y1")))
         )
-        return whole.unionByName(checked).groupBy("qx", "qy", "label").agg(F.sum("n").alias("n"))
+        return pairs.where(near <= square * (1 + _SLACK)).withColumn("inside", far <= square * (1 - _SLACK))
+
+    def _counted(self, met: DataFrame, checked: DataFrame) -> DataFrame:
+        """Counts of whole tiles and of the single points of cut ones."""
+        distance = _square(F.col("tx") - F.col("qx")) + _square(F.col("ty") - F.col("qy"))
+        found = checked.where(distance <= self.eps * self.eps).select("qx", "qy", "label", "n")
+        whole = met.where("inside").select("qx", "qy", F.inline("counts"))
+        return whole.unionByName(found).groupBy("qx", "qy", "label").agg(F.sum("n").alias("n"))
 
 
 def _spots(df: DataFrame, x: str, y: str, as_x: str, as_y: str, *keep: Column) -> DataFrame:
@@ -184,14 +230,32 @@ class EpsNeighbourClassifier:
 
 
 class EpsNeighbourModel:
-    def __init__(self, spec: EpsNeighbourClassifier, train: DataFrame):
+    def __init__(self, spec: EpsNeighbourClassifier, train: DataFrame | None):
         self.spec, self.train = spec, train
         self._prepared: dict[float, NeighbourIndex] = {}
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, spec: EpsNeighbourClassifier) -> EpsNeighbourModel:
+        """A model of the one radius that ``store`` wrote to the path."""
+        index = NeighbourIndex.load(spark, path)
+        model = cls(spec, None)
+        model._prepared[index.eps] = index
+        return model
+
+    def store(self, eps: float, path: str) -> EpsNeighbourModel:
+        """Write the index of a radius by region, and use it from there."""
+        self._index(eps).save(path)
+        return self.open(self._index(eps).points.sparkSession, path, self.spec)
+
+    def has(self, eps: float) -> bool:
+        return eps in self._prepared
+
     def prepare(self, eps: float) -> EpsNeighbourModel:
         """Build the index of a radius now; later calls with it only pay for their queries."""
         s = self.spec
         if eps not in self._prepared:
+            if self.train is None:
+                raise ValueError(f"the stored index has the radius {[*self._prepared]}, not {eps}")
             self._prepared[eps] = NeighbourIndex.build(self.train, eps, s.x, s.y, s.label)
         return self
 

@@ -138,7 +138,7 @@ def stream_score_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = flow_map(spark, sf_dir)
     train = base.where("split = 'train'").select("x", "y", "category")
-    model = EpsNeighbourClassifier().fit(train).prepare(EPS)
+    model = EpsNeighbourClassifier().fit(train).store(EPS, work_path(spark, "neighbours"))
     path = work_path(spark, "explained")
     _drained(base.where("split = 'test'").drop("split"), "flow_id", scoring.explain_batches(model, EPS, path, list(range(10))))
     return sinks.read_epochs(spark, path).drop("epoch")

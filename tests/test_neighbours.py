@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from flowlens.operators import knn, landmarks
 from flowlens.operators import neighbours as near
+from flowlens.session import work_path
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -131,3 +132,48 @@ def test_sample_does_not_depend_on_size_shortcuts(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     few = [r.k for r in landmarks.hash_sample(df, "k", 50).collect()]
     assert few == [r.k for r in landmarks.hash_sample(df.repartition(3), "k", 2000).collect()][:50]
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    """Points in cells of all sizes, one spot with many copies, one cell with many spots; the index built and stored."""
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.random((3000, 2)) * 3 - 1, 0.5 + rng.random((6000, 2)) * 0.004, np.full((500, 2), 0.25)])
+    rows = [(i, float(x), float(y), int(i % 4)) for i, (x, y) in enumerate(at)]
+    points = spark.createDataFrame(rows, "flow_id long, x double, y double, category int").repartition(4)
+    built = near.EpsNeighbourClassifier().fit(points).prepare(0.05)
+    return points, built, built.store(0.05, work_path(spark, "t-index"))
+
+
+@pytest.mark.parametrize("few", [1000, 100_000, 0])
+def test_stored_index_answers_like_the_built_one(spark, stored, few, monkeypatch):
+    points, built, model = stored
+    monkeypatch.setattr(near, "FEW_SPOTS", few)
+    odd = spark.createDataFrame([(-1, None, 0.1, 0), (-2, float("nan"), 0.1, 0), (-3, 90.0, -90.0, 0), (-4, -0.0, 0.0, 0)], points.schema)
+    asked = points.where("flow_id % 9 = 0 OR flow_id > 9400").unionByName(odd).unionByName(points.where("flow_id = 9"))
+    names = ["flow_id", "neighbours", "predicted", "density", "p_0", "p_3"]
+    want = built.explain(asked, 0.05, [0, 1, 2, 3]).select(names).orderBy("flow_id").collect()
+    assert model.explain(asked, 0.05, [0, 1, 2, 3]).select(names).orderBy("flow_id").collect() == want
+    assert len(want) == asked.count() and [r.neighbours for r in want if -4 < r.flow_id < 0] == [0, 0, 0]
+
+
+def test_few_flows_read_their_regions_and_move_nothing_stored(spark, stored):
+    points, _, model = stored
+    counts = model._index(0.05).spot_counts(points.where("flow_id = 7"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert scans and all("region" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+    # the only exchanges are broadcasts of the query side and the final sum
+    assert "Exchange hashpartitioning(cx" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_stored_radius_and_empty_tables(spark, stored):
+    points, built, model = stored
+    with pytest.raises(ValueError, match="radius"):
+        model.explain(points, 0.1)
+    with pytest.raises(ValueError, match="radius of 0"):
+        near.EpsNeighbourClassifier().fit(points).store(0.0, work_path(spark, "t-index"))
+    assert model.explain(points.limit(0), 0.05).count() == 0
+    nothing = near.EpsNeighbourClassifier().fit(points.limit(0)).store(0.05, work_path(spark, "t-index"))
+    assert {r.predicted for r in nothing.explain(points.limit(3), 0.05).collect()} == {-1}
