@@ -17,6 +17,8 @@ from flowlens.functions.vectors import matrix_of
 from flowlens.operators.classification import pair_counts
 from flowlens.operators.landmarks import hash_sample
 
+# keys that the pairs of marginals of a group are dealt over
+_PARTS = 16
 SILHOUETTE_SAMPLE = 20_000  # fixed value: the silhouette is defined on a sample of at most this many rows
 
 
@@ -39,9 +41,8 @@ def agreement_sums(cells: DataFrame, by: list[str] = ()) -> DataFrame:
         F.sum(n * (a - 1) / 2).alias("pairs_t"),  # sum over classes of C(a, 2), spread over their cells
         F.sum(n * (b - 1) / 2).alias("pairs_p"),
         F.sum(n * F.ln(n)).alias("nlogn"), F.sum(n * F.ln(a)).alias("nloga"), F.sum(n * F.ln(b)).alias("nlogb"),
-        # marginal lists: one entry per class or cluster
-        F.collect_set(F.struct("t", a.alias("a"))).alias("ts"), F.collect_set(F.struct("p", b.alias("b"))).alias("ps"),
-    ).withColumns({"classes": F.size("ts"), "clusters": F.size("ps")})
+        F.count_distinct(F.struct("t")).alias("classes"), F.count_distinct(F.struct("p")).alias("clusters"),
+    )
     total, log_total = F.col("total"), F.ln("total")
     h_t = F.when(F.col("classes") > 1, log_total - F.col("nloga") / total).otherwise(0.0)
     h_p = F.when(F.col("clusters") > 1, log_total - F.col("nlogb") / total).otherwise(0.0)
@@ -102,18 +103,46 @@ def expected_information(a: float, b: float, n: float) -> float:
 
 @pandas_udf(DoubleType())
 def _expected_information(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([
-        sum(expected_information(x, y, total) for x in rows for y in columns) for rows, columns, total in zip(a, b, n)
-    ], dtype="float64")
+    return pd.Series([expected_information(*cell) for cell in zip(a, b, n)], dtype="float64")
+
+
+def expected_mutual_info(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, expected): E[MI] over all class x cluster pairs, empty cells included.
+
+    A pair counts by its two marginals only, so equal marginals are one row with their number. Marginals of n rows have at most
+    sqrt(2 n) values, so there are at most 2 n rows of pairs; they are dealt over ``_PARTS`` keys a group.
+    """
+    totals = cells.groupBy(*by).agg(F.sum("n").cast("double").alias("total"))
+
+    def values(side: str, size: str) -> DataFrame:
+        each = cells.groupBy(*by, side).agg(F.first(size).cast("double").alias(size))
+        return each.groupBy(*by, size).agg(F.count("*").alias(f"{size} times"))
+
+    left = values("t", "a").withColumn("part", F.pmod(F.xxhash64("a"), F.lit(_PARTS)).cast("int"))
+    right = values("p", "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    pairs = _joined(_joined(left, right, by, "part"), totals, by)
+    value = _expected_information("a", "b", "total") * F.col("a times") * F.col("b times")
+    return pairs.repartition(*by, "a", "b").groupBy(*by).agg(F.sum(value).alias("expected"))
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str], *keys: str) -> DataFrame:
+    """Join in which a null group is a group."""
+    names = [*by, *keys]
+    if not names:
+        return left.join(F.broadcast(right))  # one row of totals
+    other = right.withColumnsRenamed({k: f"{k} of other" for k in names})
+    same = [F.col(k).eqNullSafe(F.col(f"{k} of other")) for k in names]
+    return left.join(other, same).drop(*[f"{k} of other" for k in names])
 
 
-def expected_mutual_info(sums: DataFrame) -> Column:
-    """E[MI] over all class x cluster pairs, empty cells included."""
-    return _expected_information(sums["ts.a"], sums["ps.b"], sums["total"])
+def with_expected(sums: DataFrame, cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``agreement_sums`` with the expected mutual information."""
+    return _joined(sums, expected_mutual_info(cells, by), by)
 
 
 def adjusted_mutual_info(sums: DataFrame, average: str = "arithmetic") -> Column:
-    ht, hp, mi, e = sums["h_truth"], sums["h_pred"], sums["mi"], expected_mutual_info(sums)
+    """From ``with_expected``."""
+    ht, hp, mi, e = sums["h_truth"], sums["h_pred"], sums["mi"], sums["expected"]
     mean = {
         "arithmetic": (ht + hp) / 2, "max": F.greatest(ht, hp), "min": F.least(ht, hp), "geometric": F.sqrt(ht * hp)
     }[average]
@@ -123,7 +152,8 @@ def adjusted_mutual_info(sums: DataFrame, average: str = "arithmetic") -> Column
 
 def agreement_metrics(df: DataFrame, truth: str, pred: str, by: list[str] = ()) -> DataFrame:
     """The six label-agreement metrics, one row per group."""
-    sums = agreement_sums(contingency(df, truth, pred, by), by)
+    cells = contingency(df, truth, pred, by)
+    sums = with_expected(agreement_sums(cells, by), cells, by)
     h, c = homogeneity(sums), completeness(sums)
     return sums.select(
         *by, adjusted_rand(sums).alias("adj_rand_index"), adjusted_mutual_info(sums).alias("adj_mutual_info"),

@@ -186,7 +186,8 @@ FROM ({_SUMS}) m JOIN (
       USING (split) JOIN (SELECT split, count(*) AS n FROM flows GROUP BY split) tn USING (split)) q
   GROUP BY split) x USING (split)""", "flows"))
 def adjusted_mutual_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = clu.agreement_sums(_cells(spark, sf_dir), ["split"])
+    cells = _cells(spark, sf_dir)
+    sums = clu.with_expected(clu.agreement_sums(cells, ["split"]), cells, ["split"])
     return sums.select("split", r6(clu.adjusted_mutual_info(sums)).alias("adjusted_mutual_info"))
 
 

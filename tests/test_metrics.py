@@ -188,3 +188,28 @@ def test_one_run_has_no_deviation_and_any_reducer_folds(spark):
     assert scores.run_aggregate(more, spread).first()["value"] == 0.5
     wide = scores.score_table_wide(scores.run_aggregate(more, F.avg)).first()
     assert wide["original"] == 0.5 and wide["reduced_val"] is None
+
+
+def test_expected_information_of_thousands_of_classes_and_clusters(spark):
+    """Uneven marginals: equal ones are one row, and no row holds a list of them."""
+    k = 2000
+    i = F.col("id")
+    rows = spark.range(60_000).select(
+        F.when(i < k, i).otherwise(F.pmod(F.xxhash64(i), F.lit(k)) * F.pmod(i, F.lit(3))).cast("int").alias("t"),
+        F.when(i < k, i).otherwise(F.pmod(F.xxhash64(i, F.lit(1)), F.lit(k))).cast("int").alias("p"))
+    cells = clu.contingency(rows, "t", "p")
+    got = clu.expected_mutual_info(cells)
+    assert "collect" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    counts = rows.toPandas()
+    a, b = (counts[c].value_counts().value_counts() for c in ("t", "p"))
+    assert a.sum() == 3000 and b.sum() == k
+    want = sum(x_times * y_times * clu.expected_information(float(x), float(y), 60_000.0)
+               for x, x_times in a.items() for y, y_times in b.items())
+    assert got.first().expected == pytest.approx(want, rel=1e-12)
+
+
+def test_adjusted_information_keeps_a_null_group(spark):
+    rows = spark.createDataFrame([(g, i % 3, (i * 7 % 5) // 2) for g in ("x", None) for i in range(40)], "g string, t int, p int")
+    found = {r.g: r.adj_mutual_info for r in clu.agreement_metrics(rows, "t", "p", ["g"]).collect()}
+    whole = clu.agreement_metrics(rows.where("g = 'x'"), "t", "p").first().adj_mutual_info
+    assert set(found) == {"x", None} and all(v == pytest.approx(whole, abs=1e-12) for v in found.values())
