@@ -272,21 +272,58 @@ def test_spelling_contexts_sum_to_one():
     assert np.allclose(p.sum(axis=-1), 1) and tables.sum() <= counts.sum()
 
 
-def test_seating_matches_its_expectation():
-    rng = np.random.default_rng(12)
-    for customers, new, d in ((5, 0.7, 0.3), (200, 3.0, 0.5), (3000, 2.0, 0.6)):
-        state = {1: 1.0}  # the exact distribution of the number of tables
-        for k in range(1, customers if customers <= 200 else 1):
-            after = Counter()
-            for t, p in state.items():
-                q = new / (new + k - d * t)
-                after[t + 1] += p * q
-                after[t] += p * (1 - q)
-            state = after
-        got = hpylm.seated(np.full(4000, customers), np.full(4000, new), d, rng)
-        if customers <= 200:
-            assert got.mean() == pytest.approx(sum(t * p for t, p in state.items()), rel=0.04)
-        assert got.min() >= 1 and got.max() <= customers
+def posterior(customers, d, chance):
+    """Exact, by t, from all arrangements of so many customers at t tables; ``chance(t)`` is the weight of one more after t."""
+    weight = {1: 1.0}
+    for k in range(1, customers):
+        after = Counter()
+        for t, w in weight.items():
+            after[t + 1] += w * chance(t)
+            after[t] += w * (k - d * t)
+        most = max(after.values())  # only keeps the numbers small
+        weight = {t: w / most for t, w in after.items()}
+    return {t: w / sum(weight.values()) for t, w in weight.items()}
+
+
+@pytest.mark.parametrize("customers, d, others, parent", [
+    (6, 0.6, 50, 0.02), (2, 0.5, 0, 0.3), (5, 0.3, 4, 0.9), (40, 0.8, 1000, 0.01), (300, 0.5, 20, 1e-9), (400, 0.6, 500, 0.05),
+])
+def test_seating_has_the_enumerated_posterior(customers, d, others, parent):
+    """Dishes that start at the fewest tables, after 25 Gibbs steps."""
+    rng, many = np.random.default_rng(12), 8000
+    strength = 1 + d * others
+    exact = posterior(customers, d, lambda i: (strength + d * i) * parent)
+    tables = np.ones(many)
+    for _ in range(25):
+        tables = hpylm.seated(np.full(many, customers), tables, np.full(many, strength), np.full(many, parent), d, rng)
+    got = Counter(tables.astype(int).tolist())
+    assert sum(abs(got[t] / many - p) for t, p in exact.items()) / 2 < 0.04
+    assert tables.mean() == pytest.approx(sum(t * p for t, p in exact.items()), rel=0.02)
+
+
+@pytest.mark.parametrize("customers, d, free, q, grows", [(6, 0.6, 31, -0.59, 200.0), (30, 0.5, 4, 3.0, 40.0), (200, 0.8, 10, 20.0, 900.0)])
+def test_seating_counts_its_own_tables_in_the_parent(customers, d, free, q, grows):
+    rng, many = np.random.default_rng(13), 8000
+    exact = posterior(customers, d, lambda i: (free + d * i) * (q + i) / (grows + i))
+    tables = np.ones(many)
+    for _ in range(25):
+        tables = hpylm.seated(np.full(many, customers), tables, np.full(many, free), np.full(many, q), d, rng, np.full(many, grows))
+    got = Counter(tables.astype(int).tolist())
+    assert sum(abs(got[t] / many - p) for t, p in exact.items()) / 2 < 0.04
+
+
+def test_language_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    rng = random.Random(14)
+    docs = [(i, " ".join(rng.choice(["a", "b", "cat", "dog"]) + rng.choice(["", "s"]) for _ in range(rng.randint(0, 40)))) for i in range(200)]
+    monkeypatch.setattr(hpylm, "SHARD_BYTES", 5_000)  # several shards
+    frame, usual = spark.createDataFrame(docs, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions")
+    first = by_id(hpylm.score_texts(frame.repartition(1)))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        second = by_id(hpylm.score_texts(frame.repartition(5)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert all(r["score"] == pytest.approx(second[i]["score"], rel=1e-5) for i, r in first.items())
 
 
 def test_language_model_of_odd_rows(odd_docs, no_docs):
