@@ -11,12 +11,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from flowlens.llm.tokens import slices
+
 #: Words are runs of digits, letters and everything beyond ASCII; A-Z count as a-z, all other ASCII separates.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 13
 #: Text bytes of benchmark items in one automaton (about 400 times as much memory); a larger benchmark takes several.
 BLOCK_BYTES = 500_000
-_PIECE = 256
+#: Documents, or with several automata, which are built anew for each piece, text bytes, that are scanned at a time.
+_PIECE, PIECE_BYTES = 256, 32_000_000
 
 
 def normalised(text: str) -> bytes:
@@ -103,7 +106,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     spans holds the stretches of hit words as character offsets (start, end) in the original text.
 
     The benchmark is broadcast in blocks of bounded size, one automaton each; a text is normalised once and scanned once
-    for each block, and there is one block unless the benchmark is larger than ``BLOCK_BYTES``. No shuffle.
+    for each block, and there is one block unless the benchmark is larger than half of ``BLOCK_BYTES``. With several, all
+    texts of a batch meet one automaton before the next one is built. No shuffle.
 
     Defined cases: a null or wordless text has no words and is clean; a null or wordless item has no windows; a null
     item_id counts as the empty string; items with the same text are all counted, repeated rows once; an empty benchmark
@@ -113,8 +117,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, _PIECE):
-                yield _scanned(batch.slice(at, _PIECE), blocks, size, share)
+            for piece in _pieces(batch, len(blocks)):
+                yield _scanned(piece, blocks, size, share)
 
     return docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
@@ -122,6 +126,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     )
 
 
+def _pieces(batch: pa.RecordBatch, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of (doc_id, text) that are scanned at a time."""
+    if blocks > 1:
+        yield from slices(batch, 1, PIECE_BYTES)
+    else:
+        yield from (batch.slice(at, _PIECE) for at in range(0, batch.num_rows, _PIECE))
+
+
 def _scanned(part: pa.RecordBatch, blocks: list, size: int, share: int) -> pa.RecordBatch:
     texts = [t or "" for t in part.column(1).to_pylist()]
     folded = [normalised(t) for t in texts]
@@ -165,11 +177,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int
 
     @F.pandas_udf("boolean")
     def dirty(texts):
-        out = []
-        for at in range(0, len(texts), _PIECE):
-            piece = pa.array(texts[at : at + _PIECE], pa.string())
-            part = pa.RecordBatch.from_arrays([pa.nulls(len(piece)), piece], names=["doc_id", "text"])
-            out += _scanned(part, blocks, size, share).column("contaminated").to_pylist()
+        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), pa.array(texts, pa.large_string())], names=["doc_id", "text"])
+        out = [c for part in _pieces(batch, len(blocks)) for c in _scanned(part, blocks, size, share).column("contaminated").to_pylist()]
         return pd.Series(out, dtype=bool)
 
     return docs.where(~dirty(F.col("text").cast("string")))

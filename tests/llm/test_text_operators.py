@@ -120,6 +120,22 @@ def test_contamination_equals_brute_force(spark, monkeypatch, block):
         assert sum(len(fold(text[r.doc_id][s.start : s.end])) for s in r.spans) == r.n_hit
 
 
+def test_automata_of_a_large_benchmark_are_built_once_a_batch(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(900)]
+    built = []
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(decontaminate, "automaton", lambda items, size, make=decontaminate.automaton: built.append(len(items)) or make(items, size))
+    items = [(str(i), text) for i, text in enumerate(texts[:40])]
+    blocks = decontaminate.items_in_blocks(spark.createDataFrame(items, "item_id string, text string"))
+    assert len(blocks) > 2
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(900)), "text": texts})
+    got = [r for piece in decontaminate._pieces(batch, len(blocks)) for r in decontaminate._scanned(piece, blocks, 13, 20).to_pylist()]
+    assert len(built) == len(blocks) and sum(built) == 40
+    assert [r["contaminated"] for r in got] == [i < 40 for i in range(900)]
+
+
 def test_contamination_of_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "quick brown fox"), (None, "LOREM-ipsum"), (2, None), (2, "")], "item_id long, text string")
     got = by_id(decontaminate.contamination(odd_docs, items))
