@@ -2,8 +2,10 @@
 
 Rates r of documents are sought that stay close to one and meet token targets: minimise the sum of r log r - r + 1 over the
 documents of a source, subject to the sum of size * r being the source's target and the sum of r being its share of
-documents, with r <= cap. The dual is convex, its solution tilts exponentially, r = min(cap, exp(a + b * size)), and
-Newton's method finds (a, b) of every source at once from a table of document sizes. Rates are then rounded into copies.
+documents, with r <= cap. That share makes the mean size of the documents taken of every source the one of the whole table, as
+far as the cap lets it (see ``wanted_lengths``), so that sources differ less in length. The dual is convex, its solution tilts
+exponentially, r = min(cap, exp(a + b * size)), and Newton's method finds (a, b) of every source at once from a table of document
+sizes. Rates are then rounded into copies.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ TRIM = 0.01
 #: Equal-sized documents of a source are ranked in pieces of about so many at most.
 PIECE = 256
 _STEPS, _CLOSE = 60, 1e-6
+#: The mean size of a source's documents moves at most so far towards the furthest one that its target and the cap allow.
+PULL = 0.25
 
 
 def n_words() -> Column:
@@ -57,35 +61,69 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], percent: int, c
     )
 
 
-def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float, length: float = 1.0) -> DataFrame:
-    """(source, a, b): the tilt of every source; ``length`` is the wanted mean size of its documents against today's.
+def wanted_lengths(table: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """``targets`` with ``length``, the wanted mean size of each source's documents against today's; null without words.
+
+    ``table`` has (source, size, n). A target is met by the fewest documents if the largest come first, each ``cap`` times,
+    and by the most if the smallest do. The wanted number is the one that gives the mean size of all documents with words,
+    or else ``PULL`` of the way from the number at equal rates to the fewest or most: a source never needs all its room.
+    One row for each size of a source goes through the windows.
+    """
+    goals = targets.select(F.col("source").alias("of"), "target")
+    words, everything = F.col("size") * F.col("n") * F.lit(cap), Window.partitionBy()
+
+    def needed(order: Column) -> Column:
+        before = F.sum(words).over(Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        left = F.col("target") - F.coalesce(before, F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / words)) * F.col("n") * F.lit(cap)
+
+    per = table.join(goals, F.col("source").eqNullSafe(F.col("of"))).select(
+        "source", "target", "size", "n", needed(F.desc("size")).alias("few"), needed(F.asc("size")).alias("many")
+    ).groupBy(F.col("source").alias("same")).agg(
+        F.sum("few").alias("few"), F.sum("many").alias("many"), F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("words"),
+        F.first("target").alias("goal"))
+    # one row a source
+    mean = F.sum("words").over(everything) / F.sum("docs").over(everything)
+    equal = F.col("docs") * F.col("goal") / F.col("words")
+    limit = [equal + F.lit(PULL) * (F.col(end) - equal) for end in ("few", "many")]
+    number = F.greatest(limit[0], F.least(limit[1], F.col("goal") / mean))
+    return targets.join(per.select("same", (equal / number).alias("length")), F.col("source").eqNullSafe(F.col("same")), "left").drop("same")
+
+
+def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float, length: float | None = None) -> DataFrame:
+    """(source, a, b): the tilt of every source; ``length`` is the wanted mean size of its documents against today's, by default
+    that of ``wanted_lengths``. A source whose tilt isn't found keeps its mean size: all its documents have the same rate.
 
     One step is one aggregation of the table (source, size, n) of equal documents, so documents are counted once. The
     sizes of a source are divided by their mean to keep both unknowns of one order. Only the largest gap of all
     sources comes to the driver.
     """
     table = written(sizes.groupBy("source", "size").agg(F.count("*").alias("n")).where("size > 0"), "sizes")
+    targets = wanted_lengths(table, targets, cap) if length is None else targets.withColumn("length", F.lit(length))
     goals = targets.where("source_size > 0").select(
-        "source", "target", "source_size", (F.col("source_size") / F.col("n_docs")).alias("unit"),
+        "source", "target", "source_size", "length", (F.col("source_size") / F.col("n_docs")).alias("unit"),
         (F.col("target") >= F.col("source_size") * cap).alias("full"),
     )
     counts = table.groupBy(F.col("source").alias("same")).agg(F.sum("n").alias("n_sized"))
     start = goals.join(counts, F.col("source").eqNullSafe(F.col("same"))).drop("same")
-    zero = {name: F.lit(0.0) for name in ("a", "b", "da", "db", "a0", "b0")}
+    same = F.log(F.col("target") / F.col("source_size"))  # equal rates
+    zero = {"a": same, "a0": same, **{name: F.lit(0.0) for name in ("b", "da", "db", "b0")}}
     far = {name: F.lit(float("inf")) for name in ("gap", "value")}
     state = written(start.withColumns({**zero, **far}), "tilts")
     for _ in range(_STEPS):
-        moved = written(_newton(table, state, cap, length), "tilts")
+        moved = written(_newton(table, state, cap), "tilts")
         drop_written(state)
         state = moved
         if (state.where("NOT full").agg(F.max("gap")).first()[0] or 0.0) <= _CLOSE:
             break
-    out = written(state.select("source", "a", "b", "full"), "tilts")
+    found = F.col("gap") <= _CLOSE
+    out = written(state.select(
+        "source", F.when(found, F.col("a")).otherwise(same).alias("a"), F.when(found, F.col("b")).otherwise(0.0).alias("b"), "full"), "tilts")
     drop_written(table, state)
     return out
 
 
-def _newton(table: DataFrame, state: DataFrame, cap: float, length: float) -> DataFrame:
+def _newton(table: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     """One step of every source from its trial point (a, b); (a0, b0) is the last accepted point, ``value`` the dual there,
     (da, db) the step that led to the trial point. A trial point where the dual is not lower is given up for one half as
     far. Without the cap the dual is smooth; the cap makes it linear beyond, which full steps would jump across."""
@@ -102,7 +140,7 @@ def _newton(table: DataFrame, state: DataFrame, cap: float, length: float) -> Da
         )
     )
     want = F.col("target") / F.col("unit")  # of tokens, in mean documents
-    docs = F.col("n_sized") * F.col("target") / F.col("source_size") / F.lit(length)
+    docs = F.col("n_sized") * F.col("target") / F.col("source_size") / F.col("length")
     at = state.join(sums, F.col("source").eqNullSafe(F.col("same"))).drop("same")
     at = at.withColumn("docs", F.when(F.col("kinds") > 1, docs)).withColumn("want", want)  # documents of one size: tokens alone
     at = at.withColumn("now", F.col("dual") - F.coalesce(F.col("a") * F.col("docs"), F.lit(0.0)) - F.col("b") * F.col("want"))
@@ -126,7 +164,7 @@ def _newton(table: DataFrame, state: DataFrame, cap: float, length: float) -> Da
     })
     done = F.col("full") | (F.col("off") <= _CLOSE)
     return at.select(
-        "source", "target", "source_size", "unit", "full", "n_sized",
+        "source", "target", "source_size", "length", "unit", "full", "n_sized",
         F.when(done, F.col("a")).otherwise(F.col("a0") + F.col("da")).alias("a"),
         F.when(done, F.col("b")).otherwise(F.col("b0") + F.col("db")).alias("b"),
         "da", "db", "a0", "b0", "value", F.when(F.col("full"), 0.0).otherwise(F.col("off")).alias("gap"),

@@ -119,6 +119,20 @@ def test_tilt_solves_the_dual(spark):
         assert rate.sum() == pytest.approx(500 * factor / length, rel=1e-4)
 
 
+def test_mix_balances_lengths(spark):
+    """A source of long and one of short documents come nearer to the mean of both; with equal rates neither would move."""
+    rng = random.Random(17)
+    docs = [(600 * k + i, " ".join(["w"] * rng.randint(*((1, 120), (60, 300))[k])), "ab"[k]) for k in range(2) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), weights=(1, 3), percent=60).collect()
+    overall = sum(r["size"] for r in got) / len(got)
+    for k, sign in ((0, 1), (1, -1)):
+        of = [r for r in got if r.doc_id // 600 == k]
+        before, after = sum(r["size"] for r in of) / len(of), sum(r.taken for r in of) / sum(r.copies for r in of)
+        assert before * 1.02 ** sign * sign < after * sign <= overall * sign * 1.01 ** sign
+        assert sum(r.taken for r in of) == pytest.approx(of[0].target, rel=0.01)
+        assert len({round(r.rate, 3) for r in of}) > 20
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     got = by_id(mixing.mix(odd_docs))
     assert {i: r["size"] for i, r in got.items() if i in (1, 2, 3, 4, 7)} == {1: 0, 2: 0, 3: 0, 4: 2, 7: 40000}
