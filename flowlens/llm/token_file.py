@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from flowlens.llm.tokens import encoder, slices
+from flowlens.llm.tokens import encoder, give_back, slices
 from flowlens.session import written
 
 NO_ID = -(2**63)
@@ -115,6 +115,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> T
                         pa.array([name] * len(n), pa.string()),
                     ], names=["shard", "place", "doc_id", "n", "tokens"])
                     at += len(n)
+        encoder(tokenizer).forget()  # few of a shard's new words come again in the next one, and the worker goes on to other steps
+        give_back()
 
     index = written(ordered.mapInArrow(encode, "shard long, place long, doc_id long, n long, tokens string"), "token-index")
     sizes = index.groupBy("shard", "tokens").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_ids"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from flowlens.llm.words import hashed, plain, split_words
 
 #: Text bytes that are encoded at a time, and cached stretches of text in a worker (about 40 bytes each).
 PIECE_BYTES, CACHED = 2_000_000, 2_000_000
+_C = ctypes.CDLL(None)
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = "!#$%&*,.:;?|"
 #: White space other than one blank or line feed between two other characters.
@@ -27,10 +29,18 @@ def slices(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iterato
         yield batch.slice(start, n)
 
 
+def give_back() -> None:
+    """What is free in Arrow's pool and in C's heap goes back to the machine; else a reused worker keeps its largest piece."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):  # of glibc only
+        _C.malloc_trim(0)
+
+
 def runs(texts: list[pa.Array], most: int) -> Iterator[tuple[int, int]]:
     """(start, rows) of runs of rows with about ``most`` bytes in all of the text arrays; a longer row is a run of its own.
 
-    Between two runs Arrow gives back what the one before has used, so that pieces don't add up in reused workers.
+    Between two runs Arrow gives back what the one before has used, and C's heap at the end, so that pieces don't add up in
+    reused workers.
     """
     sizes = sum(np.asarray(pc.fill_null(pc.binary_length(t), 0), np.int64) for t in texts)
     start, total = 0, 0
@@ -42,7 +52,7 @@ def runs(texts: list[pa.Array], most: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(texts[0]):
         yield start, len(texts[0]) - start
-        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -93,9 +103,10 @@ class TextEncoder:
             self.edge[i] = token.startswith("\u0120") if self.kind == "bytes" else bool(suffix) and token.endswith(suffix)
         if self.kind == "spaced" and not suffix:
             self.kind = "whole"
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache."""
         self.keys = np.zeros(0, np.uint64)  # sorted hashes; ids of stretch i: flat[starts[i]:starts[i] + sizes[i]]
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -132,7 +143,7 @@ class TextEncoder:
                 break
             new, first = np.unique(h[~known], return_index=True)
             if len(self.keys) + len(new) > CACHED:
-                self._reset()
+                self.forget()
                 new, first = np.unique(h, return_index=True)
                 texts = stretches
             else:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from flowlens.llm import decontaminate, token_counts, token_file
+from flowlens.llm import decontaminate, token_counts, token_file, tokens
 from flowlens.llm.tokens import TextEncoder
 from flowlens.session import work_path
 from tests.llm.conftest import LONG, ROWS, by_id
@@ -83,6 +83,17 @@ def test_token_files_round_trip(spark, odd_docs):
     assert len(token_file.mapped(files.folder, shards[0].tokens, files.kind)) == shards[0].n_ids
 
 
+def test_token_files_leave_no_cache_in_workers(spark, odd_docs):
+    """Workers go on to other steps, which have the memory then."""
+    token_file.write_tokens(odd_docs, WORDS, work_path(spark, "test-tokens"), end_id=1)
+
+    def kept(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"n": [len(e.keys) for e in tokens._ENCODERS.values()]}, pa.schema([("n", pa.int64())]))
+
+    assert max([r.n for r in spark.range(0, 64, 1, 64).mapInArrow(kept, "n long").collect()], default=0) == 0
+
+
 def test_token_files_of_no_rows(spark, no_docs):
     assert token_file.write_tokens(no_docs, WORDS, work_path(spark, "test-tokens"), end_id=1).documents().count() == 0
 
