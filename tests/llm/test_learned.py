@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -326,6 +327,31 @@ def test_seating_counts_its_own_tables_in_the_parent(customers, d, free, q, grow
     assert sum(abs(got[t] / many - p) for t, p in exact.items()) / 2 < 0.06
 
 
+def test_seating_of_many_dishes_is_bounded():
+    """The temporary numbers of a step must not grow with the shard; before, a million dishes took some 300 MB."""
+    rng, many = np.random.default_rng(2), 1_000_000
+    customers, ones = rng.integers(2, 20, many), np.ones(many)
+    tracemalloc.start()
+    tables = hpylm.seated(customers, ones, 5 * ones, 0.01 * ones, 0.5, rng)
+    words = pa.array(["abcdefghi"] * 200_000, pa.large_string())
+    hpylm.spelling(words, np.full(hpylm.SYMBOLS**4, -3.0, np.float32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert (tables >= 1).all() and (tables <= customers).all()
+
+
+def test_steps_get_one_shard_at_a_time(spark):
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows for b in batches]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, state = spark.conf.get(key), spark.range(0, 6, 1, 1)
+    with hpylm._row_by_row(spark):
+        assert [r.n for r in state.mapInArrow(sizes, "n long").collect()] == [1] * 6
+    assert spark.conf.get(key) == before
+
+
 def test_language_model_does_not_depend_on_the_layout(spark, monkeypatch):
     rng = random.Random(14)
     docs = [(i, " ".join(rng.choice(["a", "b", "cat", "dog"]) + rng.choice(["", "s"]) for _ in range(rng.randint(0, 40)))) for i in range(200)]
