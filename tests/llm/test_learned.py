@@ -328,7 +328,7 @@ def test_seating_counts_its_own_tables_in_the_parent(customers, d, free, q, grow
 
 
 def test_seating_of_many_dishes_is_bounded():
-    """The temporary numbers of a step must not grow with the shard; before, a million dishes took some 300 MB."""
+    """The temporary numbers of a step must not grow with the shard; before, these took 215 MB."""
     rng, many = np.random.default_rng(2), 1_000_000
     customers, ones = rng.integers(2, 20, many), np.ones(many)
     tracemalloc.start()
