@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from flowlens.functions.vectors import matrix_of
+from flowlens.functions.vectors import list_column, matrix_of
+from flowlens.operators import passes
 from flowlens.operators.classification import pair_counts
-from flowlens.operators.landmarks import hash_sample
+from flowlens.session import drop_written, written
 
 # keys that the pairs of marginals of a group are dealt over
 _PARTS = 16
-SILHOUETTE_SAMPLE = 20_000  # fixed value: the silhouette is defined on a sample of at most this many rows
+# rows whose distances to so many others are held at a time
+_ROWS, _COLUMNS = 256, 4096
 
 
 def contingency(df: DataFrame, truth: str, pred: str, by: list[str] = ()) -> DataFrame:
@@ -184,55 +187,73 @@ def calinski_harabasz(df: DataFrame, features: str, cluster: str) -> DataFrame:
     return per_dim.agg(F.when(F.sum("within") == 0, 1.0).otherwise(value).alias("calinski_harabasz"))
 
 
-def silhouette_rows(df: DataFrame, features: str, cluster: str, key: str, sample: int = SILHOUETTE_SAMPLE,
-                    seed: int = 0) -> DataFrame:
-    """(key, cluster, silhouette) for a hash-ordered sample of at most ``sample`` rows.
+def silhouette_rows(df: DataFrame, features: str, cluster: str, key: str) -> DataFrame:
+    """(key, cluster, silhouette) of every row, from its distances to all others; rows without a cluster are one cluster.
 
-    The sample has a fixed bound, so it is broadcast whole; every task measures its rows against it
-    block by block and keeps only the distance sum per cluster.
+    Rows meet each other in passes over slices of bounded size and keep the sum of their distances to each cluster.
     """
-    rows = df.select(F.col(key), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c"))
-    table = hash_sample(rows, key, sample, seed).toArrow()
-    points = matrix_of(table["x"]) if table.num_rows else np.zeros((0, 1))
-    labels, codes = np.unique(table["c"].to_numpy(zero_copy_only=False), return_inverse=True)
-    onehot = np.eye(len(labels))[codes] if len(labels) else np.zeros((0, 0))
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((points, onehot))
-    size = onehot.sum(axis=0)
-    rows = spark.createDataFrame(
-        pa.table({"row": np.arange(len(points)), key: table[key], "cluster": table["c"],
-                  "code": codes.astype(np.int64).ravel()})
-    ).repartition(max(1, min(256, -(-len(points) // 256))), "row")
-
-    def measure(batches):
-        x, member = shared.value
-        norm = (x * x).sum(axis=1)
+    named = written(df.select(F.col(key), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c")), "rows")
+    sizes = named.groupBy("c").agg(F.count("*").alias("n")).orderBy("c").collect()
+    total = sum(r.n for r in sizes)
+    width = named.agg(F.max(F.size("x"))).first()[0] or 0
+    clusters = len(sizes)
+    size = np.array([r.n for r in sizes], dtype=np.float64)
+    codes = F.broadcast(spark.createDataFrame([(r.c, i) for i, r in enumerate(sizes)], named.select(F.col("c").alias("of"), F.lit(0).alias("code")).schema))
+    rows = named.join(codes, F.col("c").eqNullSafe(F.col("of"))).drop("of").withColumns({
+        "at": F.monotonically_increasing_id(), "sums": F.array_repeat(F.lit(0.0), clusters)})
+    state = written(rows.repartition(passes.tasks_of(df, total, _ROWS)), "rows", compression="zstd")
+    drop_written(named)
+    # a table of its own, as the state is written anew in each pass
+    base = written(state.select("at", "x", "code"), "base", compression="zstd")
+    count = passes.slices_of(total, width)
+
+    def meet(batches: Iterator[pa.RecordBatch], others: pa.Table) -> Iterator[pa.RecordBatch]:
+        others = others.sort_by("at")
+        at, code = others["at"].to_numpy(), others["code"].to_numpy()
+        y = matrix_of(others["x"]) if len(at) else np.zeros((0, width))
+        y = np.column_stack([-2 * y, np.ones(len(at)), (y * y).sum(axis=1)])
+        member = np.eye(clusters)[code]
         for batch in batches:
-            at = batch["row"].to_numpy()
-            code = batch["code"].to_numpy()
-            scores = np.zeros(len(at))
-            for start in range(0, len(at), 512):
-                part, own = at[start:start + 512], code[start:start + 512]
-                square = norm[part][:, None] + norm[None, :] - 2 * x[part] @ x.T
-                square[np.arange(len(part)), part] = 0.0
-                sums = np.sqrt(np.maximum(square, 0)) @ member
-                i = np.arange(len(part))
-                alone = size[own] <= 1
-                inner = sums[i, own] / np.maximum(size[own] - 1, 1)
-                means = sums / size
-                means[i, own] = np.inf
-                outer = means.min(axis=1)
-                top = np.maximum(inner, outer)
-                value = np.where(top > 0, (outer - inner) / np.where(top > 0, top, 1), 0.0)
-                scores[start:start + 512] = np.where(alone | ~np.isfinite(outer), 0.0, value)
-            yield pa.RecordBatch.from_arrays(
-                [batch[key], batch["cluster"], pa.array(scores)], [key, "cluster", "silhouette"]
-            )
+            if not batch.num_rows:
+                yield batch
+                continue
+            x, own = matrix_of(batch["x"]), batch["at"].to_numpy()
+            x = np.column_stack([x, (x * x).sum(axis=1), np.ones(len(x))])
+            same = np.searchsorted(at, own)
+            here = np.nonzero(same < len(at))[0]
+            here = here[at[same[here]] == own[here]]
+            sums = matrix_of(batch["sums"]).copy()
+            for low in range(0, len(x), _ROWS):
+                part = x[low:low + _ROWS]
+                for left in range(0, len(y), _COLUMNS):
+                    square = part @ y[left:left + _COLUMNS].T
+                    np.maximum(square, 0, out=square)
+                    i = here[(here >= low) & (here < low + _ROWS) & (same[here] >= left) & (same[here] < left + _COLUMNS)]
+                    square[i - low, same[i] - left] = 0.0  # rounding leaves a row some distance to itself
+                    sums[low:low + _ROWS] += np.sqrt(square, out=square) @ member[left:left + _COLUMNS]
+            yield batch.set_column(batch.schema.get_field_index("sums"), "sums", list_column(sums))
+
+    state = passes.passed(state, base, [F.pmod(F.xxhash64("at"), F.lit(count)) == s for s in range(count if total else 0)], meet, "rows")
+    drop_written(base)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums, own = matrix_of(batch["sums"]) if batch.num_rows else np.zeros((0, clusters)), batch["code"].to_numpy()
+            i = np.arange(len(own))
+            inner = sums[i, own] / np.maximum(size[own] - 1, 1)
+            means = sums / size
+            means[i, own] = np.inf
+            outer = means.min(axis=1, initial=np.inf)
+            top = np.maximum(inner, outer)
+            known = (size[own] > 1) & np.isfinite(outer) & (top > 0)
+            value = np.zeros(len(own))
+            value[known] = (outer[known] - inner[known]) / top[known]
+            yield pa.RecordBatch.from_arrays([batch[key], batch["c"], pa.array(value)], [key, "cluster", "silhouette"])
 
     types = dict(df.dtypes)
-    return rows.mapInArrow(measure, f"{key} {types[key]}, cluster {types[cluster]}, silhouette double")
+    return state.select(key, "c", "code", "sums").mapInArrow(score, f"{key} {types[key]}, cluster {types[cluster]}, silhouette double")
 
 
-def silhouette(df: DataFrame, features: str, cluster: str, key: str, sample: int = SILHOUETTE_SAMPLE,
-               seed: int = 0) -> DataFrame:
-    return silhouette_rows(df, features, cluster, key, sample, seed).agg(F.avg("silhouette").alias("silhouette"))
+def silhouette(df: DataFrame, features: str, cluster: str, key: str) -> DataFrame:
+    return silhouette_rows(df, features, cluster, key).agg(F.avg("silhouette").alias("silhouette"))

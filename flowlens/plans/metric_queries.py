@@ -216,7 +216,6 @@ FROM (SELECT i, max(n) AS n, max(a) AS a, min(b) AS b FROM (
       sum(list_distance(x.features, y.features)) AS s
     FROM matrix x, matrix y GROUP BY ALL) d) e GROUP BY i) f""", "matrix"))
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table is smaller than the sample bound, so the sample is the whole table."""
     return rounded(clu.silhouette(matrix(spark, sf_dir), "features", "category", "row_id"), ["silhouette"])
 
 

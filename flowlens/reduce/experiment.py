@@ -51,12 +51,13 @@ def compare_spaces_clustering(data: DataFrame, space: str, run: int, clusterers:
         model = factory("label").fit(vectors.where("split = 'train'"))
         placed = model.transform(vectors).select(key, "split", "label", "category", features, "prediction")
         placed = written(placed, "placed")
-        shapes = _shapes(placed, features, key)
+        # small tables, each written by a plan of its own
+        shapes = written(_shapes(placed, features, key), "shapes")
         for task, label in TASKS.items():
             table = clu.agreement_metrics(placed, label, "prediction", ["split"]).join(shapes, "split")
             names = ["adj_rand_index", "adj_mutual_info", "homogeneity", "completeness", "v-measure",
                      "fowlkes-mallows", "silhouette", "calinski-harabasz"]
-            out.append(_labelled(cls.long_metrics(table, ["split"], names), run, name, task, space))
+            out.append(written(_labelled(cls.long_metrics(table, ["split"], names), run, name, task, space), "scores"))
     return _stack(out)
 
 

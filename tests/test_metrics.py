@@ -146,6 +146,37 @@ def test_silhouette_and_dispersion(spark):
     assert value == pytest.approx((between / 2) / (within / (len(x) - 3)))
 
 
+def test_silhouette_of_every_row(spark, monkeypatch):
+    """More rows than the bound of the former sample, met in several slices."""
+    monkeypatch.setattr(clu.passes, "SLICE_BYTES", 100_000)
+    n = 20_500
+    x = (np.arange(n) % 7 + np.arange(n) / n) * 1.5
+    y = np.arange(n) * 3 // n
+    df = spark.range(n).select("id", F.expr(f"array((id % 7 + id / {n}) * 1.5, 1.0D)").alias("features"), F.expr(f"cast(id * 3 div {n} as int)").alias("c"))
+    want = np.zeros(n)
+    for at in range(0, n, 1000):
+        d = np.abs(x[at:at + 1000, None] - x[None])
+        own = y[at:at + 1000]
+        means = np.stack([d[:, y == c].mean(axis=1) for c in range(3)], axis=1)
+        i = np.arange(len(own))
+        size = np.bincount(y)[own]
+        a = means[i, own] * size / (size - 1)
+        means[i, own] = np.inf
+        want[at:at + 1000] = (means.min(axis=1) - a) / np.maximum(a, means.min(axis=1))
+    found = {r.id: r.silhouette for r in clu.silhouette_rows(df, "features", "c", "id").collect()}
+    assert len(found) == n
+    assert [found[i] for i in range(n)] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_silhouette_of_few_and_of_no_rows(spark):
+    rows = [(0, [0.0, 0.0], 1), (1, [0.0, 0.0], 1), (2, [3.0, 4.0], None), (2, [3.0, 4.0], None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, c int")
+    assert [(r.k, r.cluster, r.silhouette) for r in clu.silhouette_rows(df, "v", "c", "k").orderBy("k").collect()] == [
+        (0, 1, 1.0), (1, 1, 1.0), (2, None, 1.0), (2, None, 1.0)]
+    assert [r.silhouette for r in clu.silhouette_rows(df.where("c = 1"), "v", "c", "k").collect()] == [0.0, 0.0]
+    assert clu.silhouette(df.limit(0), "v", "c", "k").first()[0] is None
+
+
 @pytest.mark.parametrize("n,block", [(1, 7), (5, 5), (7, 50), (20, 33)])
 def test_last_n_equals_plain_windows(spark, n, block):
     df = spark.range(150).select(F.col("id").alias("i"), F.pmod(F.col("id") * 7, F.lit(10)).cast("int").alias("c"),
