@@ -100,6 +100,36 @@ def test_exact_knn_with_copies(spark, pivots, block):
     assert got == brute_knn(x, 7)
 
 
+def test_exact_knn_copies_no_rows(spark, monkeypatch):
+    """Several slices, blocks far away, more copies than neighbours: no step has more rows than the table has."""
+    monkeypatch.setattr(knn.passes, "SLICE_BYTES", 400)
+    steps = []
+    for module in (knn, knn.passes):
+        monkeypatch.setattr(module, "written", lambda df, *a, f=module.written, **b: steps.append(f(df, *a, **b)) or steps[-1])
+    counts = []
+    for module in (knn, knn.passes):
+        monkeypatch.setattr(module, "drop_written", lambda *t, f=module.drop_written: counts.extend(x.count() for x in t) or f(*t))
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(c, 0.1, (30, 2)) for c in (0, 50, 1e6)] + [np.full((20, 2), 3.25), np.full((9, 2), 1e6)])
+    rows = knn.exact_knn(vectors(spark, x), 4, pivots=5, block=16)
+    plan = rows._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and len(steps) > 6 and max(counts) <= len(x)
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.row_id, r["rank"])):
+        got.setdefault(r.row_id, []).append((r.neighbour, r.d2))
+    want = brute_knn(x, 4)
+    assert {i: [b for b, _ in f] for i, f in got.items()} == want
+    assert all(d2 == np.square(x[i] - x[b]).sum() for i, f in got.items() for b, d2 in f)
+
+
+def test_exact_knn_of_ids_that_repeat(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 0.0]), (3, [4.0, 0.0])], "row_id int, features array<float>")
+    found = knn.exact_knn(df, 2)
+    assert dict(found.dtypes)["row_id"] == "int"
+    assert sorted((r.row_id, r["rank"], r.neighbour) for r in found.collect()) == [
+        (1, 0, 2), (1, 0, 2), (2, 0, 3), (2, 1, 1), (3, 0, 2), (3, 1, 1)]
+
+
 def test_knn_of_small_tables(spark):
     assert knn.exact_knn(vectors(spark, np.zeros((0, 2))), 3).count() == 0
     rows = knn.exact_knn(vectors(spark, np.array([[0.0, 0], [1, 0], [1, 0]])), 5).collect()
