@@ -153,6 +153,13 @@ def test_affinity_graph_is_symmetric_and_sums_to_one(spark):
     assert all(p[b, a] == pytest.approx(v) for (a, b), v in p.items())
 
 
+def test_affinities_search_the_neighbours_once(spark):
+    """Both directions read shares that are written; the search is not in the plan twice."""
+    x = np.random.default_rng(2).normal(0, 1, (40, 3))
+    graph = knn.knn_affinity(vectors(spark, x), 5.0)
+    assert "ArrowEvalPython" not in graph._jdf.queryExecution().toString() and graph.count() > 0
+
+
 def test_landmark_bound(spark):
     with pytest.raises(ValueError):
         landmarks.choose_landmarks(spark.range(5), "id", landmarks.MAX_LANDMARKS + 1)
