@@ -15,6 +15,8 @@ from flowlens.session import work_path
 from flowlens.streaming import replay, scoring, sinks, windows
 
 _PER_TICK = 100_000
+#: Stores for the state of counts: it has some dozens of rows, or as many for each open window.
+_COUNT_STORES = 4
 _NUMBER = "replay number"
 _PREDICTIONS = ["pred_binary", "pred_attack"]
 
@@ -26,12 +28,13 @@ def _replayed(df: DataFrame, index: str) -> tuple[str, int]:
     return path, spark.read.parquet(path).count()
 
 
-def _drained(df: DataFrame, index: str, write, transform=lambda stream: stream, mode: str = "append") -> None:
+def _drained(df: DataFrame, index: str, write, transform=lambda stream: stream, mode: str = "append",
+             state_partitions: int | None = None) -> None:
     """All ticks of the table through ``transform``; large tables in ticks of at most ``_PER_TICK`` flows, small ones in a few."""
     path, flows = _replayed(df, index)
     per_tick = max(1, min(_PER_TICK, -(-flows // 3)))
-    stream = replay.replay_stream(df.sparkSession, path, per_tick, index=_NUMBER).drop(_NUMBER)
-    replay.drain(transform(stream), write, flows, per_tick, mode)
+    stream = replay.ranged_stream(df.sparkSession, path, per_tick, index=_NUMBER)
+    replay.drain(lambda come: transform(stream(come).drop(_NUMBER)), write, flows, per_tick, mode, state_partitions=state_partitions)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +91,7 @@ GROUP BY p.predictor, c.category"""
 def stream_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "confusion")
     _drained(_scored(spark, sf_dir), "flow_id", sinks.write_newest(path),
-             lambda stream: windows.confusion_stream(stream, "category", _PREDICTIONS), "complete")
+             lambda stream: windows.confusion_stream(stream, "category", _PREDICTIONS), "complete", _COUNT_STORES)
     return windows.zero_filled(sinks.latest_epoch(spark, path))
 
 

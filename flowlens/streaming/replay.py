@@ -6,12 +6,13 @@ not depend on files, and a checkpoint says how far the replay is. Ticks beyond t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowlens.session import work_path
+from flowlens.session import names_in, text_of, work_path
 from flowlens.streaming import sinks
 
 #: Ticks are broadcast to the table they are joined to: 8 bytes a flow.
@@ -53,12 +54,42 @@ def each_tick(path: str, each: Callable[[DataFrame, int], None], index: str = "i
     return write
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], flows: int, per_tick: int, mode: str = "append",
-          checkpoint: str | None = None) -> None:
-    """Run as many ticks as ``flows`` more flows need, then stop. With a checkpoint a later call goes on behind them."""
-    checkpoint = checkpoint or work_path(stream.sparkSession, "stream-checkpoint")
+def ranged_stream(spark: SparkSession, path: str, per_tick: int = 1, seek: int | None = None,
+                  index: str = "index") -> Callable[[int], DataFrame]:
+    """``replay_stream`` for ``drain``, which says how many flows have come: a run of a tick reads the row groups behind them only.
+
+    A run that repeats an unfinished tick may bring the next one too, so there are two ticks to read.
+    """
+    table = spark.read.parquet(path)
+
+    def run(come: int) -> DataFrame:
+        lo = (seek or 0) + come
+        near = table.where(F.col(index).between(lo, lo + 2 * per_tick - 1))
+        return near.join(F.broadcast(ticks(spark, per_tick, seek, index)), index).select(*table.columns)
+
+    return run
+
+
+def drain(stream: DataFrame | Callable[[int], DataFrame], each: Callable[[DataFrame, int], None], flows: int, per_tick: int,
+          mode: str = "append", checkpoint: str | None = None, state_partitions: int | None = None) -> None:
+    """Run as many ticks as ``flows`` more flows need, then stop. With a checkpoint a later call goes on behind them.
+
+    ``stream`` may be made anew for each tick, from the number of flows that have come.
+    """
+    made = stream if callable(stream) else lambda come: stream
+    spark = made(0).sparkSession
+    checkpoint = checkpoint or work_path(spark, "stream-checkpoint")
     for _ in range(-(-flows // per_tick)):  # the source brings one tick whenever it is asked for what is available
-        sinks.drain(stream, each, mode, checkpoint)
+        sinks.drain(made(come(spark, checkpoint)), each, mode, checkpoint, state_partitions)
+
+
+def come(spark: SparkSession, checkpoint: str) -> int:
+    """Flows up to the last finished tick of a checkpoint whose first source is ``ticks``."""
+    done = [int(name) for name in names_in(spark, f"{checkpoint}/commits") if name.isdigit()]
+    if not done:
+        return 0
+    source = text_of(spark, f"{checkpoint}/offsets/{max(done)}").splitlines()[2]  # a version, the batch's metadata, its sources
+    return int(json.loads(source)["offset"])
 
 
 class Replay:

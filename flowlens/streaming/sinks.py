@@ -49,17 +49,28 @@ def latest_epoch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
-          checkpoint: str | None = None) -> None:
+          checkpoint: str | None = None, state_partitions: int | None = None) -> None:
     """Run a stream over everything available and stop."""
-    query = start(stream, each, mode, checkpoint, available_now=True)
+    query = start(stream, each, mode, checkpoint, available_now=True, state_partitions=state_partitions)
     query.awaitTermination()
 
 
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
-          checkpoint: str | None = None, available_now: bool = False, every: str = "200 milliseconds") -> StreamingQuery:
+          checkpoint: str | None = None, available_now: bool = False, every: str = "200 milliseconds",
+          state_partitions: int | None = None) -> StreamingQuery:
+    """``state_partitions``: stores that a new checkpoint deals its state over, each opened and written in every batch."""
     checkpoint = checkpoint or work_path(stream.sparkSession, "stream-checkpoint")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
+    key, conf = "spark.sql.shuffle.partitions", stream.sparkSession.conf
+    before = conf.get(key)
+    if state_partitions:
+        conf.set(key, str(min(state_partitions, int(before))))
+    try:
+        return writer.start()  # the query keeps the settings it starts with
+    finally:
+        if state_partitions:
+            conf.set(key, before)
 
 
 def last_value_per_key(epochs: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Streams end where batch does, survive a restart, and keep index order."""
 
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens import session
 from flowlens.operators.neighbours import EpsNeighbourClassifier
 from flowlens.session import work_path
 from flowlens.streaming import replay, scoring, sinks, windows
@@ -40,6 +42,32 @@ def test_a_tick_reads_the_row_groups_of_its_range(spark):
     assert "BroadcastHashJoin" in _last_plan(stream) and "SortMergeJoin" not in _last_plan(stream)
 
 
+def test_a_tick_of_a_stream_reads_the_row_groups_of_its_range(spark):
+    """Also on a checkpoint that goes on, where no-data batches come between, and with few stores of state."""
+    path, checkpoint, plans, seen = work_path(spark, "t-replay"), work_path(spark, "t-checkpoint"), [], []
+    replay.write_replay(scored(spark).withColumn("at", F.timestamp_seconds(F.col("index") * 600)), path)
+    ranged = replay.ranged_stream(spark, path, 50, 20)
+
+    def counts(come):
+        stream = ranged(come)
+        plans.append((come, stream._jdf.queryExecution().analyzed().toString()))
+        return windows.windowed_confusion_stream(stream, "at", "category", ["a", "b"])
+
+    for flows in (100, 280):
+        replay.drain(counts, lambda b, e: seen.extend((r.window_start, r.predictor, r.category, r.pred, r.n) for r in b.collect()),
+                     flows, 50, "update", checkpoint, state_partitions=2)
+    assert [come for come, _ in plans] == [0, 0, 50, 0, 100, 150, 200, 250, 300, 350]
+    for come, plan in plans:
+        plain = re.sub(r"#\d+L?|cast\(|as bigint\)|[() ]", "", plan)
+        assert f"index>={20 + come}ANDindex<={119 + come}" in plain, plan
+    newest = {}
+    for *group, n in seen:
+        newest[tuple(group)] = max(n, newest.get(tuple(group), 0))
+    assert sum(newest.values()) == 2 * 380
+    assert len([n for n in session.names_in(spark, f"{checkpoint}/state/0") if n.isdigit()]) == 2
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8" and replay.come(spark, work_path(spark, "t-none")) == 0
+
+
 def _last_plan(stream):
     query = sinks.start(stream, lambda b, e: b.count(), available_now=True)
     query.awaitTermination()
