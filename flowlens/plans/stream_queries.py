@@ -106,7 +106,7 @@ GROUP BY ALL""", "flows"))
 def stream_confusion_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "confusion-windows")
     _drained(_scored(spark, sf_dir), "flow_id", lambda batch, epoch: sinks.write_epoch(batch, path, epoch),
-             lambda stream: windows.windowed_confusion_stream(stream, "ts", "category", _PREDICTIONS), "update")
+             lambda stream: windows.windowed_confusion_stream(stream, "ts", "category", _PREDICTIONS), "update", _COUNT_STORES)
     keys = ["window_start", "predictor", "category", "pred"]
     newest = sinks.last_value_per_key(sinks.read_epochs(spark, path), keys, "n")
     return newest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
