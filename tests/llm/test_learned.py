@@ -370,3 +370,21 @@ def test_language_model_of_odd_rows(odd_docs, no_docs):
     got = hpylm.score_texts(odd_docs).collect()
     assert len(got) == len(ROWS) and all(r.score < 0 for r in got)
     assert hpylm.score_texts(no_docs).count() == 0
+
+
+def test_counts_of_a_spelling_context_are_added_one_by_one():
+    """A group has a row from each task; before, all of them were held together."""
+    cells = np.arange(hpylm.SYMBOLS**3, dtype=np.int32)
+
+    def sent(tasks):
+        for i in range(tasks):
+            rows = [[5], [cells.tobytes()], [np.full(len(cells), float(i)).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()))], names=["last", "events", "n"])
+
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    last, cube = hpylm._cube(sent(200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert last == 5 and cube.shape == (hpylm.SYMBOLS,) * 3 and (cube == sum(range(200))).all()
+    assert peak < 12_000_000 and pa.total_allocated_bytes() - before < 4_000_000  # the rows are 265 MB
