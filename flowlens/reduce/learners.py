@@ -26,6 +26,8 @@ TREE_DEPTHS = [2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 26, 34, 44, 56, 73, 94, 121, 15
 TREE_LEAVES = [2, 3, 4, 5, 6, 7, 9, 12, 15, 19, 24, 31, 40, 50, 64]
 C_GRID = [10 ** (-6 + 12 * i / 19) for i in range(20)]  # 20 values from 1e-6 to 1e6
 MAX_DEPTH = 30
+#: Rows of a partition while the trees of a search grow.
+TREE_ROWS = 2**16
 FOLD = "fold"
 
 Factory = Callable[..., Estimator]
@@ -67,12 +69,14 @@ class TreeSearch(CrossValidator):
         depths = sorted({min(p[tree.maxDepth], MAX_DEPTH) for p in points})
         label, fold = tree.getLabelCol(), self.getFoldCol()
         rows = written(dataset.select(tree.getFeaturesCol(), label, fold), "search")
+        # every partition sends the statistics of all open nodes, so the trees that grow side by side have few; the last one grows alone
+        few = rows.coalesce(max(1, -(-rows.count() // TREE_ROWS)))
         deepest = tree.copy({tree.maxDepth: depths[-1]})
         work = [(leaf, k) for leaf in leaves for k in range(self.getNumFolds())]
 
         def judge(of: tuple[int, int]) -> np.ndarray | None:
             leaf, k = of
-            model = deepest.copy({deepest.minInstancesPerNode: leaf}).fit(rows.where(F.col(fold) != k))
+            model = deepest.copy({deepest.minInstancesPerNode: leaf}).fit(few.where(F.col(fold) != k))
             return depth_accuracy(model, rows.where(F.col(fold) == k), label, depths)
 
         with ThreadPoolExecutor(self.getParallelism()) as pool:

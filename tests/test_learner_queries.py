@@ -70,6 +70,15 @@ def test_points_beyond_the_deepest_tree_count_like_it(train):
     assert len(set(found.values())) == 1 and len(found) == 3
 
 
+def test_trees_of_a_search_have_few_partitions(train, monkeypatch):
+    """They grow side by side; every partition would send the statistics of all nodes of each."""
+    seen = []
+    fit = learners.DecisionTreeClassifier.fit
+    monkeypatch.setattr(learners.DecisionTreeClassifier, "fit", lambda self, rows, *a: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows, *a))
+    learners.decision_tree_gridsearch("y", [3], [2, 5]).fit(train.repartition(6))
+    assert seen[:6] == [1] * 6 and len(seen) == 7
+
+
 def test_votes_at_every_depth(spark, train):
     from pyspark.sql import functions as F
 
