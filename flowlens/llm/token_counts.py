@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.tokens import encoder, slices, tokenizer_digest
+from flowlens.llm.tokens import encoder, forget, slices, tokenizer_digest
 from flowlens.session import path_exists
 
 CACHE_SCHEMA = "text_digest binary, tokenizer string, n_tokens long"
@@ -47,6 +47,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, over: int = 512) -
                     [part.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())],
                     names=["text_digest", "tokenizer", "n_tokens"],
                 )
+        forget(tokenizer)
 
     one = base.groupBy("text_digest").agg(F.first("text").alias("text"))  # combined before the shuffle
     new = one.join(stored().select("text_digest"), "text_digest", "left_anti")

@@ -242,3 +242,10 @@ def encoder(path: str) -> TextEncoder:
         _ENCODERS.clear()
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
+
+
+def forget(path: str) -> None:
+    """Drop what the worker's encoder of that file keeps, if there is one: the worker goes on to other steps."""
+    if path in _ENCODERS:
+        _ENCODERS[path].forget()
+    give_back()

@@ -66,6 +66,16 @@ def test_counts_of_no_rows(spark, no_docs):
     assert token_counts.count_tokens(no_docs, BYTES, work_path(spark, "test-cache")).count() == 0
 
 
+def test_token_counts_leave_no_cache_in_workers(spark, odd_docs):
+    token_counts.count_tokens(odd_docs, WORDS, work_path(spark, "test-cache")).count()
+
+    def kept(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"n": [len(e.keys) for e in tokens._ENCODERS.values()]}, pa.schema([("n", pa.int64())]))
+
+    assert max([r.n for r in spark.range(0, 64, 1, 64).mapInArrow(kept, "n long").collect()], default=0) == 0
+
+
 def test_token_files_round_trip(spark, odd_docs):
     files = token_file.write_tokens(odd_docs, WORDS, work_path(spark, "test-tokens"), end_id=1)
     got = sorted(files.documents().collect(), key=lambda r: r.start)
